@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
+from . import mixing, packing, quality, simhash, toxicity
 from .common import table
 
 
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.isolate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "anomaly")
@@ -19,6 +23,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_powers(table(spark, sf_dir, "documents"))
     return packed.select(
@@ -27,8 +36,10 @@ def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_subword_toxicity": op2_subword_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op6_simhash_vptree": op6_simhash_vptree,
     "op10_pack_powers": op10_pack_powers,
 }
 
