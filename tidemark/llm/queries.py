@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity
+from . import mixing, packing, quality, simhash, toxicity, wrappers
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_powers(table(spark, sf_dir, "documents"))
     return packed.select(
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_vptree": op6_simhash_vptree,
+    "op7_wrapper_induction": op7_wrapper_induction,
     "op10_pack_powers": op10_pack_powers,
 }
 
