@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity, wrappers
+from . import mixing, packing, quality, simhash, surrogates, toxicity, wrappers
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "anomaly")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.pseudonymize(table(spark, sf_dir, "documents"))
+    return replaced.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "n_replaced")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -42,6 +47,7 @@ def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_subword_toxicity": op2_subword_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_surrogates": op4_surrogates,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_vptree": op6_simhash_vptree,
     "op7_wrapper_induction": op7_wrapper_induction,

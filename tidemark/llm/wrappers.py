@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -347,19 +348,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         host(col(url_col)).alias("host"),
     ).join(wrappers, F.col("host") == F.col("of_host"), "left")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, list]] = {}
         for batch in batches:
             texts = []
-            for h, page, w in zip(batch["host"], batch["html"], batch["wrapper"]):
-                if isinstance(w, str) and (h not in known or known[h][0] != w):
+            for h, page, w in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if w is not None and (h not in known or known[h][0] != w):
                     if len(known) > 1000:
                         known.clear()
                     known[h] = (w, json.loads(w))
-                texts.append(main_text(page, known[h][1] if isinstance(w, str) else None))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
+                texts.append(main_text(page, known[h][1] if w is not None else None))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
 
-    read_rows = rows.select("page_id", "url", "html", "host", "wrapper").mapInPandas(
+    read_rows = rows.select("page_id", "url", "host", "html", "wrapper").mapInArrow(
         read, "page_id long, url string, text string"
     )
     return read_rows.withColumn("n_chars", F.length("text").cast("long"))
