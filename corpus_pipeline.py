@@ -1,12 +1,63 @@
-"""The corpus pipeline: raw documents to packed training sequences, stage by stage."""
+"""The corpus pipeline: raw documents to packed training sequences, stage by stage.
+
+Each stage takes all rows that the one before it kept. All but the last return
+the columns of documents; run() writes each stage's rows to the shared folder
+and reads them again, so a lost executor costs at most one stage.
+
+As part of tidemark.llm it is removable together with that subpackage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, packing, simhash, surrogates, toxicity
+from tidemark.llm.common import cut, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents it rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each group stays, that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data: surrogates in the text, and n_chars to match."""
+    return surrogates.replace_private(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to target weights: every document as often as its source's rate says."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two packing; a document that the mix repeats is packed each time."""
+    packed = packing.pack_powers(docs)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
+    )
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("simhash_near_dedup", dedupe),
+    ("private_data", protect),
+    ("mix_sources", mix),
+    ("pack", pack),
+]
 
-STAGES: list = []
+#: SQL can't express the trained classifier or the tokenizer; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

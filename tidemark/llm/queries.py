@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, surrogates, toxicity, wrappers
+from . import curves, mixing, packing, quality, simhash, surrogates, token_counts, toxicity, wrappers
 from .common import table
 
 
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,10 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_powers(table(spark, sf_dir, "documents"))
     return packed.select(
@@ -45,12 +53,14 @@ def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hilbert_neighbours": op1_hilbert_neighbours,
     "op2_subword_toxicity": op2_subword_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_surrogates": op4_surrogates,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_vptree": op6_simhash_vptree,
     "op7_wrapper_induction": op7_wrapper_induction,
+    "op8_token_attribution": op8_token_attribution,
     "op10_pack_powers": op10_pack_powers,
 }
 

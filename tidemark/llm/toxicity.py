@@ -14,6 +14,7 @@ and looks up one number per word: one Arrow pass over the texts, no shuffle.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -113,11 +114,14 @@ def fit(
         rows.append(padded.reshape(n, window))
         of_text.append(np.full(n, i, np.int32))
     windows, of_text = np.concatenate(rows), np.concatenate(of_text)
-    bags = [[], *(grams(w, buckets) for w in vocabulary)]
-    size = np.fromiter(map(len, bags), np.int64, len(bags))
-    begin = np.concatenate([[0], np.cumsum(size)])
-    flat = np.fromiter((g for b in bags for g in b), np.int64, begin[-1])
-    del vocabulary, bags, rows
+    del rows
+    flat, size = array("i"), array("i", [0])
+    for word in vocabulary:
+        flat.extend(ids := grams(word, buckets))
+        size.append(len(ids))
+    del vocabulary
+    flat, size = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(size, np.int32)
+    begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
 
     vectors = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     softmax = rng.normal(0, 1, (dim, 2)).astype(np.float32)
@@ -127,8 +131,8 @@ def fit(
 
     def pulls() -> np.ndarray:
         pull = vectors @ (softmax[:, 1] - softmax[:, 0])
-        sums = np.add.reduceat(np.append(pull[flat], 0), begin[:-1]) * (size > 0)
-        return sums / np.maximum(size, 1)
+        sums = np.add.reduceat(np.append(pull[flat], np.float32(0)), begin[:-1]) * (size > 0)
+        return (sums / np.maximum(size, 1)).astype(np.float32)
 
     for epoch in range(epochs):
         if epoch == 0:
@@ -182,7 +186,7 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    fit_rows: tuple[int, int] = (8000, 5000),
+    fit_rows: tuple[int, int] = (6000, 4000),
     **how,
 ) -> ToxicModel:
     """Fit on labelled texts outside fold 0, at most fit_rows[y] ids of class y by hash of the id.
