@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, mixing, packing, quality, simhash, surrogates, token_counts, toxicity, wrappers
+from . import curves, mixing, packing, quality, simhash, suffixes, surrogates, token_counts, toxicity, wrappers
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_powers(table(spark, sf_dir, "documents"))
     return packed.select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_simhash_vptree": op6_simhash_vptree,
     "op7_wrapper_induction": op7_wrapper_induction,
     "op8_token_attribution": op8_token_attribution,
+    "op9_suffix_runs": op9_suffix_runs,
     "op10_pack_powers": op10_pack_powers,
 }
 
