@@ -2,5 +2,250 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.vectors import hash_embedding
+from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
+from ..providers import GenAIChatClient, GenAIEmbeddingClient
+from ..sources.index import upsert_batches, upserted
+from .. import prompts
+from . import sql
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(f):
+    """Register f under its name, with the SQL of that name if there is one."""
+    QUERIES[f.__name__] = f
+    if hasattr(sql, f.__name__.upper()):
+        ORACLE_SQL[f.__name__] = getattr(sql, f.__name__.upper())
+    return f
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _t(spark, sf_dir, "embeddings")
+    first = vectors.where("vec_id = 0").first()
+    near = search.knn_l2(vectors, first["embedding"] if first else [], 5, "vec_id")
+    return near.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def _near(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
+    vectors = _t(spark, sf_dir, "embeddings")
+    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.knn_l2_batch(vectors, queries, 5, "vec_id")
+
+
+@query
+def knn_l2_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _near(spark, sf_dir, "vec_id % 25 = 0")
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return chunking.explode_chunks(docs, chunking.split_text(F.col("text")), "doc_id")
+
+
+@query
+def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return chunking.explode_chunks(docs, chunking.chunk_text(F.col("text")), "doc_id")
+
+
+@query
+def chunk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_corpus(_t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query
+def csv_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _t(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", tx.linearize(*[F.col(c) for c in nation.columns]).alias("content"))
+
+
+@query
+def nonblank_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.managed_rows(_t(spark, sf_dir, "documents"), "text", "doc_id")
+    return ordering.with_position(rows, "ord").select(F.col("ord").alias("doc_id"), "id", F.length("content").cast("long").alias("n"))
+
+
+@query
+def upsert_batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert_batches(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    fresh = docs.where("doc_id % 3 = 0").withColumn("n_chars", -F.col("n_chars"))
+    return upserted(docs.where("doc_id % 2 = 0"), fresh, "doc_id")
+
+
+@query
+def head_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.head(_t(spark, sf_dir, "benchmark"), "item_id", 7).select("item_id", "text")
+
+
+@query
+def strip_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(tx.words(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query
+def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = _t(spark, sf_dir, "benchmark")
+    return bench.select("item_id", tx.fill(prompts.QA_GENERATION, context=F.col("text")).alias("prompt"))
+
+
+@query
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(hash_embedding(F.col("text"))).alias("slot", "weight"))
+    return docs.where("weight > 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("weight", 6).alias("weight"))
+
+
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(
+        _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), 5, "doc_id", "text", "item_id", "text"
+    )
+
+
+@query
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyword(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def fuse_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    near = _near(spark, sf_dir, "vec_id < 40").join(items, "query_id", "left_semi")
+    semantic = near.join(content, "vec_id").select("query_id", "content", F.col("distance").alias("score"), "ord")
+    keyword = _keyword(spark, sf_dir).join(content, F.col("doc_id") == F.col("vec_id")).where("item_id < 40").select(
+        F.col("item_id").alias("query_id"), "content", "score", "ord"
+    )
+    fused = search.fuse(semantic, keyword, 0.5, 5)
+    return fused.select("query_id", F.md5("content").alias("content_md5"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.greedy_batches(_t(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "batch")
+
+
+@query
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched = batching.greedy_batches(_t(spark, sf_dir, "documents"), "text", "doc_id")
+    return batched.groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@query
+def qa_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.expr(sql.QA_REPLY)
+    replies = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("batch"), reply.alias("reply"))
+    pairs = qa.qa_pairs(replies)
+    return pairs.select(
+        "batch", F.col("pos").cast("long").alias("pos"), F.col("pair")["question"].alias("question"), F.col("pair")["ground truth"].alias("ground truth")
+    )
+
+
+@query
+def qa_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("batch"), F.expr(sql.QA_REPLY).alias("reply"))
+    return qa.qa_frame(qa.qa_pairs(replies, max_total=50))
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = turns.withColumn("answer", after).where(F.col("answer").isNotNull())
+    return pairs.select("conv_id", "turn", F.col("text").alias("ground truth"), "answer")
+
+
+@query
+def bleu4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _turn_pairs(spark, sf_dir)
+    return pairs.select("conv_id", "turn", F.round(evaluation.bleu(F.col("`ground truth`"), F.col("answer")), 6).alias("bleu"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.with_scores(_turn_pairs(spark, sf_dir), F.expr(sql.JUDGE_REPLY))
+
+
+@query
+def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        *[F.col(f"`{n}`").alias(n.lower().replace(" ", "_")) for n, _ in evaluation.SCORE_LINES],
+        F.col("Explanation").alias("explanation"),
+    )
+
+
+@query
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = evaluation.metrics(_judged(spark, sf_dir))
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+@query
+def tool_plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(sql.PLAN_REPLY).alias("reply"))
+    parsed = replies.select("conv_id", "turn", *[c.alias(n) for n, c in agents.plan_columns(F.col("reply")).items()])
+    return parsed.select(
+        "conv_id", "turn", "final", F.size("calls").cast("long").alias("n_calls"), F.get(F.col("calls"), F.lit(0))["name"].alias("first_name")
+    )
+
+
+@query
+def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, each ending in one tool call whose result is the answer."""
+    turn = F.struct("turn", "role", "text")
+    talks = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    messages = talks.select(
+        "conv_id",
+        F.transform(
+            "turns",
+            lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("tool_call_id")),
+        ).alias("messages"),
+    )
+
+    def send(history: list[dict]) -> str:
+        told = [m["content"] for m in history if m["role"] == "tool"]
+        if told:
+            return json.dumps({"final_answer": told[-1]})
+        return json.dumps({"tool_calls": [{"name": "count_words", "arguments": {"text": history[0]["content"]}}]})
+
+    tools = [agents.Tool("count_words", "Counts words.", {"type": "object"}, lambda text: len(text.split()))]
+    answers = agents.run_agents(messages, lambda: agents.JsonFunctionAdapter(send), tools)
+    return answers.select("conv_id", "answer", F.size("messages").cast("long").alias("n_messages"))
+
+
+def _rag(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        client = GenAIEmbeddingClient("hash")
+        docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+        index = docs.withColumn("embedding", hash_embedding(F.col("content")))
+        questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+        chat = GenAIChatClient("stub")
+        inferencer = rag.RAGInferencer(client, chat, rag.Bm25Client())
+        hits = rag.retrieve(index, questions, client, mode, 5, chat, inferencer.keyword_search_client)
+        return rag.prompts_of(questions, hits).select("query_id", F.size("retrieved_docs").cast("long").alias("n_docs"), "prompt")
+
+    run.__name__ = f"rag_{mode}"
+    return run
+
+
+for _mode in rag.MODES:
+    query(_rag(_mode))
