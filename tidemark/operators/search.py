@@ -82,9 +82,11 @@ def knn_l2_batch(
         if len(block) == QUERY_BLOCK:
             part = search(np.array([b["q"] for b in block]), np.array([b["v"] for b in block], float))
             found, block = part if found is None else found.unionByName(part), []
-    if block or found is None:
-        part = search(np.array([b["q"] for b in block], np.int64), np.array([b["v"] for b in block], float).reshape(len(block), -1))
+    if block:
+        part = search(np.array([b["q"] for b in block]), np.array([b["v"] for b in block], float))
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = index.sparkSession.createDataFrame([], "q long, id long, distance double")
     by_query = Window.partitionBy("q").orderBy("distance", "id")
     return (
         found.withColumn("ord", F.row_number().over(by_query))
