@@ -202,9 +202,10 @@ class RagEvaluator:
             fill(prompt or prompts.EVALUATION, ground_truth=F.col("`ground truth`"), generated_answer=F.col("answer")),
         )
         replied = with_reply(asked, self.chat_client, "_prompt", "_reply")
-        scored = evaluation.with_scores(replied, F.col("_reply")).drop("_prompt", "_reply").checkpoint() if (
-            rows.sparkSession.sparkContext.getCheckpointDir()
-        ) else evaluation.with_scores(replied, F.col("_reply")).drop("_prompt", "_reply").persist()
+        scored = evaluation.with_scores(replied, F.col("_reply")).drop("_prompt", "_reply")
+        # the judge is asked once: metrics, size and frame all read what is kept here
+        durable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
+        scored = scored.checkpoint() if durable else scored.persist()
         row = evaluation.metrics(scored)
         found, size = row.first().asDict(), scored.count()
         if self.sink_path:
