@@ -45,7 +45,7 @@ GRAM = 16
 GRAMS = LENGTH - GRAM + 1
 LEFT = GRAMS - 1
 #: Raw bytes in a blob, and of the corpus per hash range.
-BLOB_BYTES, RANGE_BYTES = 4 << 20, 64 << 20
+BLOB_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
 #: Bits of a hash that are sent. More text needs more to keep chance survivors rare; they cost work, not results.
 HASH_BITS = 48
 NO_ID = np.iinfo(np.int64).max
@@ -64,7 +64,7 @@ def _pack(**arrays) -> bytes:
     for x in arrays.values():
         x = np.ascontiguousarray(x)
         np.lib.format.write_array(out, x, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
