@@ -97,7 +97,7 @@ def fit(
     batch: int = 128,
     seed: int = 42,
 ) -> ToxicModel:
-    """Train on whole texts. The first epoch learns from each text's every window, later ones from its top window."""
+    """Train on whole texts, which it takes out of the list as it goes. The first epoch learns from each text's every window, later ones from its top window."""
     rng = np.random.default_rng(seed)
     if not len(texts) or toxic.all() or not toxic.any():
         share = (toxic.sum() + 1) / (len(texts) + 2)
@@ -105,7 +105,9 @@ def fit(
 
     vocabulary: dict[str, int] = {}
     rows, of_text = [], []
-    for i, text in enumerate(texts):
+    n_texts = len(texts)
+    for i in range(n_texts):
+        text, texts[i] = texts[i], None
         parts = np.array([vocabulary.setdefault(w, len(vocabulary)) + 1 for w in (text or "").lower().split()], np.int32)
         parts[1:][parts[1:] == parts[:-1]] = 0
         n = max(1, -(-len(parts) // window))
@@ -137,7 +139,7 @@ def fit(
     for epoch in range(epochs):
         if epoch == 0:
             chosen = rng.permutation(len(windows))
-            chosen = chosen[: 4 * len(texts)]
+            chosen = chosen[: 4 * n_texts]
         else:
             value = pulls()[windows].sum(1)
             top = np.maximum.reduceat(value, first)
@@ -186,7 +188,7 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    fit_rows: tuple[int, int] = (6000, 4000),
+    fit_rows: tuple[int, int] = (5000, 3500),
     **how,
 ) -> ToxicModel:
     """Fit on labelled texts outside fold 0, at most fit_rows[y] ids of class y by hash of the id.
@@ -214,7 +216,8 @@ def learn(
         .toPandas()
         .sort_values("id")
     )
-    return fit(found["text"].tolist(), found["y"].to_numpy() == 1, **how)
+    toxic = found["y"].to_numpy() == 1
+    return fit(found.pop("text").tolist(), toxic, **how)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
