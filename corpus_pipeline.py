@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash, surrogates, toxicity
+from tidemark.llm import jaccard, mixing, packing, surrogates, toxicity
 from tidemark.llm.common import cut, table
 
 
@@ -22,8 +22,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """Near-dedup: of documents linked by a similarity of 0.8 or more over five-word shingles that of the smallest id stays."""
+    return jaccard.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,23 +29,29 @@ HASH_SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of lower-cased word shingles, each as often as it occurs; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of lower-cased word shingles, each as often as it occurs; a shorter text is one shingle, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII case and space
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, HASH_SEED)], "<u8")
-    else:
-        size = np.fromiter(map(len, words), np.int64, n)
-        end = np.cumsum(size + 1) - 1
-        begin = (end - size)[: n - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(begin, end[shingle - 1 :].tolist())], "<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, HASH_SEED)], "<u8")
+    size = np.fromiter(map(len, words), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    begin = (end - size)[: n - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(begin, end[shingle - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of lower-cased word shingles, each as often as it occurs; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 1000:
         ones = np.unpackbits(by_byte, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -230,7 +236,11 @@ def near_classes(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each class: that of its smallest id (ids before nulls), columns unchanged."""
-    classes = near_classes(docs, id_col, text_col, **how)
+    return keep_first(docs, near_classes(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each root in classes (doc_id, text_hash, root), as keep_one does."""
     first = classes.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))).alias("f")
     )
