@@ -130,9 +130,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuse_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    near = _near(spark, sf_dir, "vec_id < 40").join(items, "query_id", "left_semi")
+    vectors = _t(spark, sf_dir, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")).join(items, "query_id", "left_semi")
+    near = search.knn_l2_batch(vectors, queries, 5, "vec_id")
     semantic = near.join(content, "vec_id").select("query_id", "content", F.col("distance").alias("score"), "ord")
-    keyword = _keyword(spark, sf_dir).join(content, F.col("doc_id") == F.col("vec_id")).where("item_id < 40").select(
+    keyword = _keyword(spark, sf_dir).join(content, F.col("doc_id") == F.col("vec_id")).select(
         F.col("item_id").alias("query_id"), "content", "score", "ord"
     )
     fused = search.fuse(semantic, keyword, 0.5, 5)
