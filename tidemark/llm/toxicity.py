@@ -105,8 +105,7 @@ def fit(
 
     vocabulary: dict[str, int] = {}
     rows, of_text = [], []
-    n_texts = len(texts)
-    for i in range(n_texts):
+    for i in range(len(texts)):
         text, texts[i] = texts[i], None
         parts = np.array([vocabulary.setdefault(w, len(vocabulary)) + 1 for w in (text or "").lower().split()], np.int32)
         parts[1:][parts[1:] == parts[:-1]] = 0
@@ -139,7 +138,6 @@ def fit(
     for epoch in range(epochs):
         if epoch == 0:
             chosen = rng.permutation(len(windows))
-            chosen = chosen[: 4 * n_texts]
         else:
             value = pulls()[windows].sum(1)
             top = np.maximum.reduceat(value, first)
