@@ -50,6 +50,8 @@ NAMED_AWAY = re.compile(
     r"disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|footer|"
     r"masthead|toolbar|pagination|pager|widget|skip|hidden|copyright|paywall)(?:$|[-_])"
 )
+#: Names that tell a state of the page, not a part of it.
+NAMED_STATE = re.compile(r"^(?:has|no|with|without|is|not)[-_]|[-_](?:open|opened|closed|enabled|disabled|on|off)$")
 NAMED_HEADER = re.compile(r"^(?:site|page|top|main)?[-_]?header$")
 ROLES_AWAY = {*"navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split()}
 
@@ -72,11 +74,12 @@ MOST_NODES = 4000
 class Node:
     """A block element. key: its name and class; items: texts and blocks in page order."""
 
-    __slots__ = ("tag", "key", "away", "main", "items")
+    __slots__ = ("tag", "key", "away", "named", "main", "items")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.key, self.items = tag, tag, []
         self.away, self.main = tag in NEVER, tag in ("article", "main")
+        self.named = False  # away by name alone
         if attrs and not attrs.isspace():
             named = []
             for name, a, b, c, bare in ATTR.findall(attrs):
@@ -92,9 +95,9 @@ class Node:
                     self.away = True
             if named:
                 self.key = f"{tag}.{'.'.join(sorted(named))}"
-                away = any(NAMED_AWAY.search(n) or NAMED_HEADER.search(n) for n in named)
-                self.away |= away and tag not in ("html", "body")
-                self.main &= not self.away
+                away = any((NAMED_AWAY.search(n) and not NAMED_STATE.search(n)) or NAMED_HEADER.search(n) for n in named)
+                self.named = away and tag not in ("html", "body") and not self.away
+                self.away |= self.named
 
 
 def parse(page: str) -> Node:
@@ -253,13 +256,13 @@ def main_text(page: str | None, wrapper: list | None) -> str:
         mark(wrapper, shape, False)
     mains: list[Node] = []
 
-    def find(node: Node) -> None:
+    def find(node: Node, by_name: bool) -> None:
         for x in node.items:
-            if isinstance(x, Node) and not x.away:
+            if isinstance(x, Node) and (not x.away or by_name and x.named):
                 if x.main and (x.tag == "article" or not any(_holds(x))):
                     mains.append(x)
                 else:
-                    find(x)
+                    find(x, by_name)
 
     def _holds(node: Node) -> Iterator[bool]:
         for x in node.items:
@@ -268,7 +271,9 @@ def main_text(page: str | None, wrapper: list | None) -> str:
                     yield True
                 yield from _holds(x)
 
-    find(root)
+    find(root, False)
+    if not mains:  # the page's article is, or is in, a part named away
+        find(root, True)
     out: list[str] = []
 
     def walk(node: Node, inside: bool) -> None:
