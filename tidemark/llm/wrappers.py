@@ -308,7 +308,7 @@ def _fold(texts) -> str:
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = 32) -> DataFrame:
-    """(host, wrapper) from all pages; null pages teach nothing."""
+    """(host, wrapper) from all pages; null pages teach nothing, and a host's equal pages count once."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list] = {}
@@ -330,6 +330,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_i
     parts = (
         pages.where(col(html_col).isNotNull())
         .select(host(col(url_col)).alias("host"), col(html_col).alias("html"))
+        .dropDuplicates(["host", "html"])
         .mapInPandas(learn, "host string, part int, wrapper string")
     )
     some = parts.groupBy("host", "part").applyInPandas(join_parts, "host string, wrapper string")
@@ -340,9 +341,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars (code points) for every page.
 
     Null, empty and blank pages have an empty text. Pages without a URL or host
-    share the wrapper of the empty host. Repeated pages are extracted each, and
-    pages that are all alike keep what their article is, as a text counts as
-    template only outside plain paragraphs and headings of it. No rows in: no
+    share the wrapper of the empty host. Repeated pages are extracted each,
+    and are no evidence for template, as each distinct page is learnt from once. No rows in: no
     rows out. Other columns never matter.
     """
     wrappers = cut(induce(pages, url_col, html_col)).withColumnRenamed("host", "of_host")
