@@ -234,11 +234,12 @@ def matched(text: Column) -> Column:
     return F.coalesce(F.when(may_match(text), hits), F.array().cast("array<string>"))
 
 
-def entities(matches: Column) -> Column:
-    """The distinct ones that are: long numbers need a valid check digit."""
+def entities(matches: Column, text: Column) -> Column:
+    """The distinct ones that are: long numbers need a valid check digit, unless they follow a secret's name in the text."""
+    secrets = F.regexp_extract_all(text, F.lit(SECRET), F.lit(0))
 
     def real(e: Column) -> Column:
-        return F.when(e.rlike(f"^(?:{CARD})$"), _luhn(F.regexp_replace(e, "[^0-9]", "")) == 0).otherwise(F.lit(True))
+        return F.when(e.rlike(f"^(?:{CARD})$"), (_luhn(F.regexp_replace(e, "[^0-9]", "")) == 0) | F.array_contains(secrets, e)).otherwise(F.lit(True))
 
     return F.filter(F.array_distinct(matches), real)
 
@@ -258,7 +259,7 @@ def pseudonymize(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id",
         col(id_col).cast("string").alias("i"),
         F.xxhash64(text).alias("h"),
         matched(text).alias("matches"),
-    ).withColumn("found", entities(F.col("matches")))
+    ).withColumn("found", entities(F.col("matches"), F.col("text")))
     with_any = rows.where(F.size("found") > 0)
     hits = cut(with_any.groupBy("i", "h").agg(F.first("found").alias("found")))
     each = hits.select("i", "h", F.explode("found").alias("entity"))
