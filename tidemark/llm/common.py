@@ -45,3 +45,25 @@ def cut(df: DataFrame) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of the bitmap by which may_be_among() tells rows apart; its table has a row for each 64, whatever the input.
+BITMAP_BITS = 1 << 22
+
+
+def may_be_among(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """df with boolean `name`: false only where the long column `key` is surely not in keys' column of that name.
+
+    A bitmap of BITMAP_BITS bits, so at most BITMAP_BITS / 64 rows, is broadcast.
+    It lets rows that a join would only pass on stay where they are. With more
+    keys than bits it tells nothing apart and all rows are true.
+    """
+    slot = F.pmod(F.col(key), F.lit(BITMAP_BITS)).cast("int")
+    set_bit = lambda at: F.expr(f"shiftleft(1L, cast(pmod({at}, 64) as int))")
+    bitmap = (
+        keys.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("_word"))
+        .agg(F.bit_or(set_bit("_slot")).alias("_mask"))
+    )
+    marked = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64).cast("int")).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.coalesce(F.col("_mask").bitwiseAND(set_bit("_slot")) != 0, F.lit(False))
+    return marked.withColumn(name, hit).drop("_slot", "_word", "_mask")
