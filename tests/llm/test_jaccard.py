@@ -26,6 +26,35 @@ def kept_of_all_pairs(rows: list[tuple]) -> set:
     return {rows[i][0] for i in range(len(rows)) if up[i] == i}
 
 
+def test_large_groups_are_searched_in_blocks(spark, prose_of, monkeypatch):
+    from tidemark.llm import jaccard
+
+    rng, rows = random.Random(5), []
+    common = [f"k{i}" for i in range(40)]
+    for i in range(60):  # all share most of their shingles, few are that similar
+        w = common + prose_of(rng, 12).split()
+        rows.append(" ".join(w))
+        if i % 3 == 0:
+            rows.append(" ".join([*w[:-1], f"other{i}"]))
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], corpus_docs).repartition(3)
+    want = kept_of_all_pairs(rows)
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "KNOWN_SHINGLES", 1)
+    assert {r.doc_id for r in jaccard.keep_one(frame).collect()} == want and len(want) == 60
+
+
+def test_packed_sets_open_again():
+    import numpy as np
+
+    from tidemark.llm import jaccard
+
+    x = np.array([5, 1 << 39, 7, 5, (1 << 63) + 9], np.uint64)
+    assert jaccard._opened(jaccard._packed(x)).tolist() == [5, 7, 9, 1 << 39]
+    assert len(jaccard._opened(jaccard._packed(x[:0]))) == 0
+
+
 def test_stage_keeps_one_of_all_pairs_at_similarity_0_8(spark, prose_of):
     import corpus_pipeline
     from tidemark.llm import jaccard

@@ -26,6 +26,13 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return hung.where(F.col("u") != F.col("v")).distinct()
 
 
+def settled(pairs: DataFrame) -> bool:
+    """Whether distinct pairs (u, v), u > v, are stars: every u hangs from one node, which hangs from none."""
+    twice = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    between = pairs.select(F.col("v").alias("u")).distinct().join(pairs.select("u"), "u", "left_semi")
+    return not twice.unionByName(between).take(1)
+
+
 def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Edges (u, v) in any order to stars: every node but a component's least, with that least.
 
@@ -36,12 +43,9 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .where(F.col("u") != F.col("v"))
         .distinct()
     )
-    seen = None
     for _ in range(most_rounds):
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max("v")).first()
-        if sign == seen or not sign[0]:
+        if settled(now):
             return now
-        seen = sign
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = cut(_star(cut(_star(both, True)), False))
     raise RuntimeError("components didn't settle")

@@ -1,18 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
-
-A text is the set of its shingles' hashes; equal sets are one. If two sets have
-a similarity of at least t, each shares at least t of its own size with the
-other, so in any fixed order of all shingles their first parts of size
-n - ceil(t n) + 1 share a shingle (prefix filtering): no pair is lost, where
-fingerprints within any radius lose some. The order puts shingles rare in a
-bounded sample first, which keeps the groups that share one small; it has no
-influence on the result. Of each pair a sketch of the sets, the parities of how
-many hashes fall on each of SKETCH_BITS places, bounds from below in how many
-shingles they differ; only pairs within the bound are compared as whole sets.
-
-Sets that share a shingle are compared in rounds: each with its group's least,
-then with its greatest, then all those of a group that are not yet linked to
-each other. Connected components of the links give classes.
+"""Near-duplicates by word shingles: SimHash links first, then every other pair of that similarity.
+
+A text is the set of its shingles' hashes; equal sets are one. Links come from
+
+1. SimHash: fingerprints within `radius` bits, found by the vantage-point tree
+   of simhash.py, if the sets are as similar as asked. This joins most copies.
+2. Prefix filtering, which loses no pair, where fingerprints within any radius
+   lose some: if two sets have a similarity of at least t, then in any fixed
+   order of all shingles their first n - ceil(t n) + 1 share one. The order puts
+   shingles rare in a bounded sample first; it has no influence on the result.
+   Sets that share one and aren't linked yet are compared with their group's
+   least, then its greatest, then with each other. The last happens in place:
+   small groups are joined, large ones searched block against block, and only
+   pairs that pass the sketch leave a task.
+
+Of each pair a sketch of the sets, the parities of how many hashes fall on each
+of SKETCH_BITS places, bounds from below in how many shingles they differ; only
+pairs within the bound are compared as whole sets, and only texts of such pairs
+are shuffled, as sets of SET_BYTES a shingle. Connected components give classes.
 """
 
 from __future__ import annotations
@@ -21,21 +25,22 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, may_be_among
 from .components import stars
-from .simhash import keep_first, shingle_hashes
+from .simhash import fingerprint_of, keep_first, linked, shingle_hashes
 
 #: Shingles of the sample whose frequency the order knows, the most frequent ones.
 KNOWN_SHINGLES = 200_000
 SKETCH_BITS = 1024
-
-
-def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    return (np.unique(shingle_hashes(x.as_py(), shingle)) for x in texts)
+#: Bytes of each hash that whole sets are compared by: two shingles of a pair of long texts fall together once in a million pairs.
+SET_BYTES = 5
+#: Members of a group that are joined with each other, and of a block of a larger one.
+SMALL_GROUP, BLOCK = 48, 1024
 
 
 def _frequent(texts: DataFrame, shingle: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +48,14 @@ def _frequent(texts: DataFrame, shingle: int, sample_rows: int) -> tuple[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in _sets(batch.column(0), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view("<i8"))], names=["s"])
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(0)]
+            if sets:
+                s, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view("<i8")), pa.array(n, pa.int64())], names=["s", "n"])
 
     one_in = max(1, texts.count() // sample_rows)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct().mapInArrow(run, "s long")
-    counted = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(KNOWN_SHINGLES).toPandas()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct().mapInArrow(run, "s long, n long")
+    counted = some.groupBy("s").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(KNOWN_SHINGLES).toPandas()
     s, n = counted["s"].to_numpy("int64").view(np.uint64), counted["n"].to_numpy("int64")
     order = np.argsort(s)
     return s[order], n[order]
@@ -59,6 +66,18 @@ def _sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The low SET_BYTES of each hash, distinct and in order."""
+    low = np.unique(hashes & np.uint64((1 << 8 * SET_BYTES) - 1))
+    return low.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def _opened(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 def _joined(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
     """Pairs (u, v) with the named columns of both sets, _a and _b."""
     for k, end in (("u", "a"), ("v", "b")):
@@ -66,6 +85,12 @@ def _joined(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
     return pairs.select("u", "v", *[f"{n}_{end}" for n in names for end in "ab"])
 
 
+def within_bound(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m elements that differ in at least so many may be so similar."""
+    ok = differ <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+    return ok & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+
+
 def _may_be_alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) that sizes and sketches don't rule out."""
 
@@ -75,14 +100,42 @@ def _may_be_alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> D
                 continue
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (4, 5))
-            differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            keep = differ <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
-            keep &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+            keep = within_bound(n, m, np.bitwise_count(a ^ b).sum(1, dtype=np.int64), similarity)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep))
 
     return cut(_joined(pairs, sketches, "n", "sketch").mapInArrow(run, "u long, v long"))
 
 
+def _in_blocks(members: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v) within groups s, of different roots r, that sketches don't rule out: block against block."""
+    sizes = members.groupBy("s").agg(F.count("*").alias("m"))
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    dealt = (
+        members.join(sizes.where(F.col("m") > SMALL_GROUP), "s")
+        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("own", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "r")
+        .join(sketches.select("set_id", "n", "sketch"), "set_id")
+    )
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        n, r, own, ids = (g[c].to_numpy() for c in ("n", "r", "own", "set_id"))
+        bits = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        for a in left:
+            b = right[right > a] if i == j else right
+            b = b[r[b] != r[a]]
+            b = b[np.minimum(n[b], n[a]) >= similarity * np.maximum(n[b], n[a]) - 1e-6]
+            if len(b):
+                near = within_bound(n[b], n[a], np.bitwise_count(bits[b] ^ bits[a]).sum(1, dtype=np.int64), similarity)
+                found += [(ids[a], ids[x]) for x in b[near]]
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return cut(dealt.groupBy("s", "i", "j").applyInPandas(search, "u long, v long").distinct())
+
+
 def _alike(pairs: DataFrame, sets, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets are so similar. sets: gives the whole sets of the ids in a column."""
 
@@ -90,12 +143,12 @@ def _alike(pairs: DataFrame, sets, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (a, b))
+                x, y = _opened(a.as_py()), _opened(b.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
+                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct())
     return cut(_joined(pairs, sets(asked), "set").mapInArrow(run, "u long, v long"))
 
 
@@ -105,12 +158,14 @@ def similar_classes(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    sample_rows: int = 20_000,
+    radius: int = 3,
+    sample_rows: int = 10_000,
 ) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, root.
 
     Rows share a root if links of at least `similarity` join them. Null, empty
-    and blank texts are alike. No rows in: no rows out.
+    and blank texts are alike. No rows in: no rows out. Ties and repeated rows
+    share a root; other columns never matter.
     """
     import xxhash
 
@@ -118,65 +173,103 @@ def similar_classes(
     known, often = _frequent(texts, shingle, sample_rows)
 
     def first_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # sets whose sketch and part this task has given
         for batch in batches:
-            ids, sizes, sketches, parts = [], [], [], []
-            for s in _sets(batch.column(1), shingle):
-                ids.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+            if len(told) > 1_000_000:
+                told.clear()
+            ids, fps, sizes, sketches, parts = [], [], [], [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                s = np.unique(hashes)
+                ids.append(name := xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                fps.append(fingerprint_of(hashes))
                 sizes.append(n := len(s))
+                if name in told:
+                    sketches.append(None)
+                    parts.append(None)
+                    continue
+                told.add(name)
                 sketches.append(_sketch(s))
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
                 parts.append(s[: n - ceil(similarity * n - 1e-9) + 1].view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(sketches, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "set_id", "n", "sketch", "part"],
+                [batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "set_id", "fp", "n", "sketch", "part"],
             )
 
     seen = cut(
         docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.xxhash64(col(text_col)).alias("h"))
-        .mapInArrow(first_parts, "doc_id long, text_hash long, set_id long, n int, sketch binary, part array<long>")
+        .mapInArrow(first_parts, "doc_id long, text_hash long, set_id long, fp long, n int, sketch binary, part array<long>")
     )
-    parts = seen.select(F.explode("part").alias("s"), "set_id").repartition("s")
+    parts = seen.where(F.col("part").isNotNull()).select(F.explode("part").alias("s"), "set_id").repartition("s")
     groups = parts.groupBy("s").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).where("least < greatest")
     shared = cut(parts.join(groups, "s").distinct())
-    members = seen.join(shared.select("set_id").distinct(), "set_id", "left_semi")
-    sketches = cut(members.select("set_id", "text_hash", "n", "sketch").dropDuplicates(["set_id"]))
+    by_fp = cut(seen.groupBy("fp", "set_id").agg(F.lit(1)).groupBy("fp").agg(F.min("set_id").alias("least")))
+    near = linked(by_fp, radius)
+    reps = by_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")).join(near, "u")
+    reps = reps.join(by_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same_fp = seen.select("fp", "set_id").distinct().join(by_fp, "fp").where("set_id <> least").select(F.col("set_id").alias("u"), F.col("least").alias("v"))
+    by_simhash = cut(reps.unionByName(same_fp).where("u <> v").distinct())
+
+    asked = shared.select("set_id").unionByName(by_simhash.select(F.explode(F.array("u", "v")).alias("set_id"))).distinct()
+    sketches = cut(
+        seen.where(F.col("sketch").isNotNull()).join(asked, "set_id", "left_semi")
+        .groupBy("set_id").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch.column(1), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_id", "set"])
+            if len(told) > 1_000_000:
+                told.clear()
+            names, sets = [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h not in told:
+                    told.add(h)
+                    names.append(h)
+                    sets.append(_packed(shingle_hashes(text.as_py(), shingle)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["h", "set"])
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        of_set = sketches.join(asked, "set_id").select("set_id", F.col("text_hash").alias("h"))
-        of_set = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("string").alias("text")).join(of_set, "h")
-        return cut(of_set.dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(whole, "set_id long, set binary"))
+        of_set = cut(sketches.join(asked, "set_id").select("set_id", F.col("text_hash").alias("h")))
+        rows = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("string").alias("text"))
+        few = may_be_among(rows, of_set, "h", "maybe").where("maybe").select("h", "text").mapInArrow(whole, "h long, set binary")
+        return cut(of_set.join(few, "h").groupBy("set_id").agg(F.first("set").alias("set")))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return _alike(_may_be_alike(pairs, sketches, similarity), sets_of, similarity)
 
-    links = None
+    def root(links: DataFrame, *names: str) -> list[DataFrame]:
+        star = cut(stars(links))
+        return [star.select(F.col("u").alias(k), F.col("v").alias(f"{k}_root")) for k in names]
+
+    links = compared(by_simhash)
     for pivot in ("least", "greatest"):
         pairs = shared.where(F.col("set_id") != F.col(pivot)).select(F.col("set_id").alias("u"), F.col(pivot).alias("v")).distinct()
-        if links is not None:
-            star = stars(links)
-            root = lambda k: star.select(F.col("u").alias(k), F.col("v").alias(f"{k}_root"))
-            pairs = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
-            pairs = pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-        alike = _alike(_may_be_alike(pairs, sketches, similarity), sets_of, similarity)
-        links = alike if links is None else links.unionByName(alike)
-
-    star = stars(links).select(F.col("u").alias("set_id"), F.col("v").alias("r"))
-    rooted = shared.join(star, "set_id", "left").select("s", "set_id", F.coalesce("r", "set_id").alias("r"))
-    apart = rooted.groupBy("s").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("s")
-    left = cut(rooted.join(apart, "s"))
-    other = left.select("s", F.col("set_id").alias("v"), F.col("r").alias("q"))
-    pairs = left.join(other, "s").where(F.col("r") < F.col("q")).select(F.col("set_id").alias("u"), "v").distinct()
-    links = links.unionByName(_alike(_may_be_alike(pairs, sketches, similarity), sets_of, similarity))
+        of_u, of_v = root(links, "u", "v")
+        apart = pairs.join(of_u, "u", "left").join(of_v, "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+        links = links.unionByName(compared(apart.select("u", "v")))
+
+    (of_set,) = root(links, "set_id")
+    rooted = shared.join(of_set, "set_id", "left").select("s", "set_id", F.coalesce("set_id_root", "set_id").alias("r"))
+    split = rooted.groupBy("s").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("m")).where("a < b").select("s", "m")
+    left = cut(rooted.join(split, "s"))
+    small = left.where(F.col("m") <= SMALL_GROUP)
+    other = small.select("s", F.col("set_id").alias("v"), F.col("r").alias("q"))
+    joined = small.join(other, "s").where(F.col("r") < F.col("q")).select(F.col("set_id").alias("u"), "v").distinct()
+    rest = _may_be_alike(joined, sketches, similarity).unionByName(_in_blocks(left.drop("m"), sketches, similarity)).distinct()
+    links = links.unionByName(_alike(cut(rest), sets_of, similarity))
 
     star = stars(links).select(F.col("u").alias("set_id"), F.col("v").alias("r"))
     return seen.join(star, "set_id", "left").select("doc_id", "text_hash", F.coalesce("r", "set_id").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each class: that of its smallest id (ids before nulls), columns unchanged."""
+    """docs with one row of each class: that of its smallest id (ids before nulls), columns unchanged.
+
+    Null, empty and blank texts are one class; repeated rows leave one; no rows in: no rows out.
+    """
     return keep_first(docs, similar_classes(docs, id_col, text_col, **how), id_col, text_col)

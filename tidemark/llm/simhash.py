@@ -2,7 +2,7 @@
 
 1. One pass gives every whole text its 64-bit fingerprint; from here on only
    (id, fingerprint) moves, and equal fingerprints are one row.
-2. A vantage-point tree over a bounded, hash-picked sample splits the
+2. A vantage-point tree over a hash-picked sample splits the
    fingerprints by Hamming distance into shards of about `shard_rows`. Every
    fingerprint has one home shard; by the triangle inequality only shards whose
    side of each split comes within `radius` can hold a partner, and it visits
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, may_be_among
 from .components import stars
 
 HASH_SEED = 42
+#: Fingerprints of a shard, sampled ones for its splits, and of those in all.
+SHARD_ROWS, SAMPLE_PER_SHARD, SAMPLE_ROWS = 32_768, 256, 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -49,7 +51,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of lower-cased word shingles, each as often as it occurs; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
@@ -184,31 +189,16 @@ def link_within(points: np.ndarray, homes: np.ndarray, radius: int, forest: Fore
     search(homes, np.arange(len(points)))
 
 
-def near_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 3,
-    radius: int = 3,
-    shard_rows: int = 8192,
-    sample_rows: int = 8192,
-) -> DataFrame:
-    """One row per row of docs: doc_id, fp, text_hash, component_id.
+def linked(fps: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(u, v): distinct fingerprints of column fp to stars of what links of at most radius bits join.
 
-    component_id is the smallest id that links of at most `radius` differing
-    bits reach, the row's own included. Null, empty and blank texts have
-    fingerprint 0, which links like any other. Rows without an id get the
-    component of their fingerprint, null if nobody in it has an id. Repeated
-    rows share a class. No rows in: no rows out. Other columns never matter.
-
-    Splits come from at most sample_rows fingerprints; every fingerprint is
-    placed and searched.
+    Splits come from a sample of at most sample_rows fingerprints, of which each
+    shard to be gets at least SAMPLE_PER_SHARD unless that bound is met.
     """
-    thin = cut(fingerprints(docs, id_col, text_col, shingle))
-    fps = cut(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy("int64")
+    size = min(sample_rows, max(8192, SAMPLE_PER_SHARD << depth))
+    sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toPandas()["fp"].to_numpy("int64")
     tree = VantageTree(sample.view(np.uint64), depth, radius)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,8 +216,31 @@ def near_classes(
         return pd.DataFrame({"u": fp[moved], "v": fp[root[moved]]})
 
     placed = fps.select("fp").mapInPandas(place, "shard int, fp long, home boolean")
-    links = placed.groupBy("shard").applyInPandas(search, "u long, v long")
-    star = stars(links).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
+    return stars(placed.groupBy("shard").applyInPandas(search, "u long, v long"))
+
+
+def near_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    radius: int = 3,
+    shard_rows: int = SHARD_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """One row per row of docs: doc_id, fp, text_hash, component_id.
+
+    component_id is the smallest id that links of at most `radius` differing
+    bits reach, the row's own included. Null, empty and blank texts have
+    fingerprint 0, which links like any other. Rows without an id get the
+    component of their fingerprint, null if nobody in it has an id. Repeated
+    rows share a class. No rows in: no rows out. Other columns never matter.
+
+    Every fingerprint is placed and searched; only splits come from a sample.
+    """
+    thin = cut(fingerprints(docs, id_col, text_col, shingle))
+    fps = cut(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    star = linked(fps, radius, shard_rows, sample_rows).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
     rooted = fps.join(star, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(rooted.join(classes, "root").select("fp", "component_id", "root"))
@@ -240,16 +253,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each root in classes (doc_id, text_hash, root), as keep_one does."""
-    first = classes.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))).alias("f")
-    )
-    first = cut(first.select(F.col("f.i").alias("i"), F.col("f.h").alias("h")))
+    """docs with one row for each root in classes (doc_id, text_hash, root), as keep_one does.
+
+    Only rows of classes with several are shuffled: a bitmap tells nearly all
+    others apart where they are.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
+    judged = classes.groupBy("root").agg(first.alias("f"), F.count("*").alias("n"))
+    kept = cut(judged.where("n > 1").select("root", F.col("f.i").alias("i"), F.col("f.h").alias("h")))
+    same = cut(classes.join(kept.select("root"), "root").select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct())
     rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).cast("long").alias("i"), F.xxhash64(col(text_col)).alias("h"))
-    kept = rows.join(
-        first.select(F.col("i").alias("fi"), F.col("h").alias("fh")),
+    rows = may_be_among(rows.withColumn("k", F.xxhash64("i", "h")), same, "k", "maybe")
+    alone = rows.where(~F.col("maybe")).select("row")
+    shuffled = rows.where("maybe").join(same.withColumn("several", F.lit(True)), "k", "left")
+    chosen = shuffled.where("several").join(
+        kept.select(F.col("i").alias("fi"), F.col("h").alias("fh")),
         F.col("i").eqNullSafe(F.col("fi")) & (F.col("h") == F.col("fh")),
         "left_semi",
     )
     once = Window.partitionBy("i", "h").orderBy(F.lit(1))
-    return kept.withColumn("n", F.row_number().over(once)).where(F.col("n") == 1).select("row.*")
+    one = chosen.withColumn("n", F.row_number().over(once)).where(F.col("n") == 1).select("row")
+    return alone.unionByName(shuffled.where("several is null").select("row")).unionByName(one).select("row.*")
