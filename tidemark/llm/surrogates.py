@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from .common import col, cut, may_be_among
 
 # Forms of address, by gender, and the forms of identifiers.
@@ -124,27 +125,26 @@ def _letter(alphabet: str, b: Column) -> Column:
     return F.substr(F.lit(alphabet), (b % len(alphabet) + 1).cast("int"), F.lit(1))
 
 
-def _other(alphabet: str, c: Column, b: Column) -> Column:
-    """Any letter of the alphabet but c."""
-    n = len(alphabet)
-    return F.substr(F.lit(alphabet), ((F.instr(F.lit(alphabet), c) + b % (n - 1)) % n + 1).cast("int"), F.lit(1))
-
-
 def _redrawn(text: Column, stream: Column) -> Column:
     """Every letter and digit by another of its case and script, marks on letters left out; hex stays hex; the rest stays."""
-    lower, upper = text.rlike("^[0-9a-f:]{12,}$") & text.rlike("[a-f]"), text.rlike("^[0-9A-F:]{12,}$") & text.rlike("[A-F]")
 
-    def one(i: Column) -> Column:
-        c, b = F.substr(text, (i + 1).cast("int"), F.lit(1)), _byte(stream, i)
-        out = F.when(lower & (c != ":"), _other(HEX, c, b)).when(upper & (c != ":"), _other(HEX_UPPER, c, b))
+    def whole(t: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(t["text"]) - 1, F.lit(0))), lambda i: one(t, i)), "")
+
+    def one(t: Column, i: Column) -> Column:
+        c = F.substr(t["text"], (i + 1).cast("int"), F.lit(1))
+        letters = F.when(t["lower"] & (c != ":"), HEX).when(t["upper"] & (c != ":"), HEX_UPPER)
         for alphabet in ALPHABETS:
-            out = out.when(F.instr(F.lit(alphabet), c) > 0, _other(alphabet, c, b))
-        out = out.when(c.rlike(r"^[\x00-\x7f]$"), c).when(c.rlike(r"^\p{M}$"), F.lit(""))
+            letters = letters.when(F.instr(F.lit(alphabet), c) > 0, alphabet)
+        letters = letters.when(c.rlike(r"^(?:[\x00-\x7f]|\p{M})$"), "")
         for pattern, alphabet in SCRIPTS:
-            out = out.when(c.rlike(f"^{pattern}$"), _other(alphabet, c, b))
-        return out.otherwise(c)
+            letters = letters.when(c.rlike(f"^{pattern}$"), alphabet)
+        other = lambda a: F.substr(a, ((F.instr(a, c) + _byte(t["stream"], i) % (F.length(a) - 1)) % F.length(a) + 1).cast("int"), F.lit(1))
+        kept = F.when(c.rlike(r"^\p{M}$"), "").otherwise(c)
+        return let(F.coalesce(letters, F.lit("")), lambda a: F.when(a == "", kept).otherwise(other(a)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), one), "")
+    lower, upper = text.rlike("^[0-9a-f:]{12,}$") & text.rlike("[a-f]"), text.rlike("^[0-9A-F:]{12,}$") & text.rlike("[A-F]")
+    return let(F.struct(text.alias("text"), stream.alias("stream"), lower.alias("lower"), upper.alias("upper")), whole)
 
 
 def _luhn(digits: Column) -> Column:
@@ -171,10 +171,15 @@ def kind(entity: Column) -> Column:
 
 def surrogate(entity: Column, of_kind: Column, key: str, attempt: int) -> Column:
     """The keyed surrogate of an entity, other than a name, on that attempt."""
-    stream = _bytes(key, of_kind, entity, F.lit(str(attempt)))
     more = max(0, attempt - 3)  # the format has no room left: a few characters more of the last one's sort
     longer = F.concat(entity, F.repeat(F.substr(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""), F.lit(-1), F.lit(1)), F.lit(more))) if more else entity
-    redrawn = _redrawn(longer, stream)
+    stream = _bytes(key, of_kind, entity, F.lit(str(attempt)))
+    drawn = let(stream, lambda s: F.struct(s.alias("stream"), _redrawn(longer, s).alias("text")))
+    return let(drawn, lambda d: _formed(entity, of_kind, key, attempt, more, d["stream"], d["text"]))
+
+
+def _formed(entity: Column, of_kind: Column, key: str, attempt: int, more: int, stream: Column, redrawn: Column) -> Column:
+    """What its type keeps of an entity, and the rest redrawn."""
 
     user, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     kept = F.regexp_extract(domain, r"(?i)(?:\.|^)(?:example\.(?:com|org|net|edu)|[a-z]{2,})$", 0)
@@ -345,7 +350,7 @@ def entities(matches: Column, text: Column) -> Column:
     secrets = F.regexp_extract_all(text, F.lit(SECRET), F.lit(0))
 
     def real(e: Column) -> Column:
-        return F.when(e.rlike(f"^(?:{CARD})$"), (_luhn(F.regexp_replace(e, "[^0-9]", "")) == 0) | F.array_contains(secrets, e)).otherwise(F.lit(True))
+        return F.when(e.rlike(f"^(?:{CARD})$"), (let(F.regexp_replace(e, "[^0-9]", ""), _luhn) == 0) | F.array_contains(secrets, e)).otherwise(F.lit(True))
 
     return F.when(F.size(matches) > 0, F.filter(F.array_distinct(matches), real)).otherwise(F.array().cast("array<string>"))
 
