@@ -37,7 +37,8 @@ def hash_embedding(text: Column, dim: int = HASH_DIM) -> Column:
     places = F.sequence(F.lit(0), F.lit(dim - 1))
 
     def count(held: Column) -> Column:
-        return F.transform(places, lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))
+        # array_remove is a plain loop over longs; a lambda would be interpreted for every term and place
+        return F.transform(places, lambda i: (F.size(held) - F.size(F.array_remove(held, i))).cast("double"))
 
     def unit(counts: Column) -> Column:
         norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))

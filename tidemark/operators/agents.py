@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import parse_arguments
 
 #: Replies that a loop gives by itself.
 OUT_OF_STEPS = "Tool execution exceeded max steps."
@@ -30,7 +29,7 @@ class Tool:
     name: str
     description: str
     parameters: dict
-    func: Callable[..., Any]
+    function: Callable[..., Any]
 
 
 @dataclass
@@ -105,35 +104,64 @@ class JsonFunctionAdapter:
 
 
 def parse_plan(reply: str) -> tuple[str | None, list[ToolCall]]:
-    """A JSON plan's calls, numbered from 0, or its final answer; anything else is final as it stands."""
+    """A JSON plan's calls, numbered from 0, or its final answer; anything else is final as it stands.
+
+    A plan is an object. Its calls are the objects in the list under tool_calls,
+    numbered by their place there; a name that isn't text is empty, arguments
+    that aren't an object are wrapped under _raw, missing or null ones are none.
+    Without a list under tool_calls a plan has no calls and is read on.
+    """
     try:
         plan = json.loads(reply)
     except (TypeError, ValueError):
         return reply, []
-    if isinstance(plan, dict):
-        if "tool_calls" in plan:
-            return None, [ToolCall(str(i), c.get("name", ""), c.get("arguments", {})) for i, c in enumerate(plan["tool_calls"])]
-        if "final_answer" in plan:
-            return str(plan["final_answer"]), []
+    if not isinstance(plan, dict):
+        return reply, []
+    listed = plan.get("tool_calls")
+    if isinstance(listed, list):
+        calls = [(i, c) for i, c in enumerate(listed) if isinstance(c, dict)]
+        return None, [ToolCall(str(i), _name(c.get("name")), _wrapped(c.get("arguments"))) for i, c in calls]
+    answer = plan.get("final_answer")
+    if answer is not None:
+        return str(answer), []
     return reply, []
 
 
+def _name(given: Any) -> str:
+    return given if isinstance(given, str) else ""
+
+
+def _wrapped(given: Any) -> dict:
+    return given if isinstance(given, dict) else {} if given is None else {"_raw": given}
+
+
 def plan_columns(reply: Column) -> dict[str, Column]:
-    """parse_plan() natively: final (text), and calls (array of id, name, arguments as JSON)."""
+    """parse_plan() natively: final (text; answers that aren't text as JSON), and calls (array of id, name, arguments as JSON)."""
     plan = F.try_parse_json(reply)
-    shape = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())]))
-    calls_text = F.get_json_object(reply, "$.tool_calls")
-    calls = F.from_json(F.when(plan.isNotNull(), calls_text), shape)
-    numbered = F.transform(
-        calls,
-        lambda c, i: F.struct(
+    part = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_object = F.schema_of_variant(plan).startswith("OBJECT")
+    listed = F.when(is_object, part(plan, "$.tool_calls", "array<variant>"))
+
+    def call(c: Column, i: Column) -> Column:
+        told = part(c, "$.arguments", "variant")
+        text = F.to_json(told)
+        # OBJECT alone may stand as it is; null is none; anything else goes under _raw
+        arguments = F.when(told.isNull() | (text == "null"), "{}").when(text.startswith("{"), text)
+        name = F.when(F.schema_of_variant(part(c, "$.name", "variant")) == "STRING", part(c, "$.name", "string"))
+        return F.struct(
             i.cast("string").alias("id"),
-            F.coalesce(c["name"], F.lit("")).alias("name"),
-            parse_arguments(c["arguments"]).alias("arguments"),
-        ),
-    )
-    final = F.when(calls_text.isNull() | plan.isNull(), F.coalesce(F.get_json_object(reply, "$.final_answer"), reply))
-    return {"final": final, "calls": F.coalesce(numbered, F.array().cast(numbered_type()))}
+            F.coalesce(name, F.lit("")).alias("name"),
+            F.coalesce(arguments, F.concat(F.lit('{"_raw":'), text, F.lit("}"))).alias("arguments"),
+            F.schema_of_variant(c).startswith("OBJECT").alias("ok"),
+        )
+
+    kept = F.filter(F.transform(listed, call), lambda c: c["ok"])
+    calls = F.transform(kept, lambda c: F.struct(c["id"], c["name"], c["arguments"]))
+    told = F.when(is_object, part(plan, "$.final_answer", "variant"))
+    plain = F.to_json(told)
+    answer = F.when(F.schema_of_variant(told) == "STRING", part(told, "$", "string")).when(plain != "null", plain)
+    final = F.when(listed.isNull(), F.coalesce(answer, reply))
+    return {"final": final, "calls": F.coalesce(calls, F.array().cast(numbered_type()))}
 
 
 def numbered_type() -> T.ArrayType:
@@ -155,7 +183,7 @@ def run_agent_loop(
     messages: list[dict],
     tools: list[Tool],
     max_steps: int = 8,
-    on_tool_result: Callable[[ToolCall, Any], None] | None = None,
+    on_tool_result: Callable[[str, Any], None] | None = None,
     echo_calls: bool = False,
 ) -> str:
     """Ask, call tools, tell, until a final answer or max_steps.
@@ -176,12 +204,12 @@ def run_agent_loop(
         for call in calls:
             tool = by_name.get(call.name)
             try:
-                result = tool.func(**call.arguments) if tool else {"error": UNKNOWN_TOOL.format(call.name)}
+                result = tool.function(**call.arguments) if tool else {"error": UNKNOWN_TOOL.format(call.name)}
             except Exception as e:
                 result = {"error": str(e)}
             if on_tool_result:
                 try:
-                    on_tool_result(call, result)
+                    on_tool_result(call.name, result)
                 except Exception:
                     pass
             messages.append({"role": "tool", "name": call.name, "tool_call_id": call.id, "content": as_text(result)})

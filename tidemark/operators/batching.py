@@ -68,13 +68,15 @@ def greedy_batches(df: DataFrame, text_col: str, order_col: str, max_chars: int
     """(order_col, batch, content): stripped non-blank texts in order, in batches of at most max_chars.
 
     A text that alone exceeds max_chars is a batch of its own. Null and blank
-    texts are skipped; joiners between texts don't count.
+    texts are skipped; joiners between texts don't count. Rows of equal order go
+    by a hash; of rows equal in order and text all go to the first one's batch.
     """
     rows = df.where(~is_blank(F.col(text_col))).select(F.col(order_col).alias("ord"), strip(F.col(text_col)).alias("content"))
-    cut = bucketed(rows.select("ord", F.length("content").alias("n")), "ord", buckets)
+    sizes_only = rows.select("ord", F.length("content").alias("n"), F.xxhash64("content").alias("text"))
+    cut = bucketed(sizes_only, "ord", buckets).select("_bucket", "_tie", "ord", "n", "text")
 
     def measure(g: pd.DataFrame) -> pd.DataFrame:
-        sizes = g.sort_values("ord")["n"].to_numpy("int64")
+        sizes = g.sort_values(["ord", "_tie"], na_position="first")["n"].to_numpy("int64")
         opens, then = fill_batches(sizes, max_chars)
         return pd.DataFrame(
             {
@@ -95,14 +97,16 @@ def greedy_batches(df: DataFrame, text_col: str, order_col: str, max_chars: int
         batch += opened
 
     def number(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord")
+        g = g.sort_values(["ord", "_tie"], na_position="first")
         first, full = entry[int(g["_bucket"].iloc[0])]
         opens, _ = fill_batches(g["n"].to_numpy("int64"), max_chars, full)
-        return pd.DataFrame({"ord": g["ord"], "batch": first + np.cumsum(opens)})
+        return pd.DataFrame({"ord": g["ord"], "text": g["text"], "batch": first + np.cumsum(opens)}).drop_duplicates(["ord", "text"])
 
     kind = rows.schema["ord"].dataType.simpleString()
-    numbered = cut.groupBy("_bucket").applyInPandas(number, f"ord {kind}, batch long")
-    return rows.join(numbered, "ord").select(F.col("ord").alias(order_col), "batch", "content")
+    numbered = cut.groupBy("_bucket").applyInPandas(number, f"ord {kind}, text long, batch long")
+    named = numbered.groupBy("ord", "text").agg(F.min("batch").alias("batch")).select(F.col("ord").alias("_o"), "text", "batch")
+    held = rows.withColumn("text", F.xxhash64("content"))
+    return held.join(named, held["ord"].eqNullSafe(named["_o"]) & (held["text"] == named["text"])).select(held["ord"].alias(order_col), "batch", "content")
 
 
 def joined_batches(batched: DataFrame, order_col: str) -> DataFrame:

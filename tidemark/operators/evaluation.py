@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip, words
-from ..functions.vectors import let
 
 # What a judge's reply looks like, and the names of evaluation columns.
 NUMBER = r"([0-1](?:\.\d+)?)"
@@ -26,26 +29,22 @@ METRICS = [
     ("avg_semantic_similarity", "Semantic Similarity"),
 ]
 SIMILAR = 80
+#: Orders of n-grams that BLEU counts.
+ORDERS = 4
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))
-    return F.coalesce(grams, F.array().cast("array<string>"))
-
-
-def _clipped(candidate: Column, reference: Column) -> Column:
-    """Matches of n-grams, each counted at most as often as the reference has it."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _clipped(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    """Matches of n-grams of each order, each counted at most as often as the reference has it: one count a gram, linear in tokens."""
 
-    def times(grams: Column, gram: Column) -> Column:
-        return F.size(F.filter(grams, lambda g: g == gram))
+    def counted(tokens, n: int) -> Counter:
+        return Counter(zip(*(tokens[i:] for i in range(n))))
 
-    def clip(t: Column) -> Column:
-        return F.aggregate(
-            F.array_distinct(t["c"]), F.lit(0), lambda s, g: s + F.least(times(t["c"], g), times(t["r"], g))
-        )
+    def matches(c, r) -> list[float]:
+        c, r = list(c), list(r)
+        return [float(sum((counted(c, n) & counted(r, n)).values())) for n in range(1, ORDERS + 1)]
 
-    return let(F.struct(candidate.alias("c"), reference.alias("r")), clip)
+    return pd.Series([None if c is None or r is None else matches(c, r) for c, r in zip(candidate, reference)])
 
 
 def bleu(reference: Column, candidate: Column) -> Column:
@@ -55,13 +54,9 @@ def bleu(reference: Column, candidate: Column) -> Column:
     such orders so far, where c > 1 tokens; orders still at zero are left out.
     Without a common token the score is 0.
     """
-    return let(F.struct(words(reference).alias("r"), words(candidate).alias("c")), lambda t: _bleu(t["r"], t["c"]))
-
-
-def _bleu(r: Column, c: Column) -> Column:
-    n_c, n_r = F.size(c).cast("double"), F.size(r).cast("double")
-    matches = F.array(*[_clipped(_grams(c, n), _grams(r, n)).cast("double") for n in range(1, 5)])
-    return let(matches, lambda m: _smoothed([m[i] for i in range(4)], n_c, n_r))
+    r, c = words(reference), words(candidate)
+    hits = _clipped(c, r)
+    return _smoothed([hits[i] for i in range(ORDERS)], F.size(c).cast("double"), F.size(r).cast("double"))
 
 
 def _smoothed(hits: list[Column], n_c: Column, n_r: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_json_array
@@ -31,12 +33,18 @@ def qa_pairs(replies: DataFrame, batch_col: str = "batch", reply_col: str = "rep
     out = rows.where(F.col("pair").isNotNull()).withColumn("pair", renamed)
     if max_total is None:
         return out
-    ranked = out.withColumn("_n", F.row_number().over(Window.orderBy("batch", "pos")))
-    return ranked.where(F.col("_n") <= max_total).drop("_n")
+    return out.orderBy("batch", "pos").limit(max_total)  # each task sends its first max_total at most
 
 
-def qa_frame(pairs: DataFrame) -> DataFrame:
-    """(question, ground truth) in order of batch and position."""
-    return pairs.orderBy("batch", "pos").select(
-        F.col("pair")["question"].alias("question"), F.col("pair")["ground truth"].alias("ground truth")
-    )
+def qa_frame(pairs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(question, ground truth, and a column for each key in more) in order of batch and position."""
+    return pairs.orderBy("batch", "pos").select(*[F.col("pair")[k].alias(k) for k in ("question", "ground truth", *more)])
+
+
+def other_keys(pairs: DataFrame, most: int = 1000) -> list[str]:
+    """Keys that replies gave beside question and ground truth, in order; more than `most` are no columns and an error."""
+    found = pairs.select(F.explode(F.map_keys("pair")).alias("key")).where(~F.col("key").isin("question", "ground truth"))
+    keys = [r["key"] for r in found.distinct().orderBy("key").limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"replies have more than {most} different keys")
+    return keys

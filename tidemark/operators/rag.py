@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +11,26 @@ from pyspark.sql import functions as F
 from .. import prompts
 from ..functions.text import fill, shorten
 from ..providers import SAFE_ANSWER, GenAIChatClient, GenAIEmbeddingClient, with_embedding, with_reply
+from ..session import shared_dir
 from ..sources.index import LOCAL, MANAGED, attach_index, read_index
 from ..sources.metrics_sink import log_to_mlflow, write_metrics
 from . import evaluation
 from .batching import count_batches, greedy_batches, joined_batches
 from .ordering import head, head_or_all
-from .qa import qa_frame, qa_pairs
+from .qa import other_keys, qa_frame, qa_pairs
 from .search import bm25, fuse, knn_l2_batch
 
 CONTEXT_CHARS = 800
 MODES = ("standard", "hybrid", "hyde")
+#: Batches asked at first when pairs are capped.
+FIRST_ROUND = 8
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that executors share and read again: models whose replies it holds aren't asked a second time."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Bm25Client:
@@ -39,6 +50,7 @@ def retrieve(
     keyword_client: Any = None,
     alpha: float = 0.5,
     semantic_score: str = "distance",
+    max_tokens: int = 256,
 ) -> DataFrame:
     """(query_id, content, score, ord): the top_k texts for each (query_id, question).
 
@@ -47,7 +59,7 @@ def retrieve(
     """
     asked = questions.select("query_id", "question")
     if mode == "hyde":
-        asked = with_reply(asked, chat_client, "question", "sought", prompts.HYDE)
+        asked = with_reply(asked, chat_client, "question", "sought", prompts.HYDE, max_tokens)
     else:
         asked = asked.withColumn("sought", F.col("question"))
     vectors = with_embedding(asked, embedding_client, "sought", "query_vector")
@@ -109,17 +121,31 @@ class RAGInferencer:
         spark = questions.sparkSession
         table = read_index(spark, index_path) if index_type == LOCAL else attach_index(spark, index)
         hits = retrieve(
-            table, questions, self.embedding_client, mode, top_k, self.chat_client, self.keyword_search_client
+            table, questions, self.embedding_client, mode, top_k, self.chat_client, self.keyword_search_client, max_tokens=max_tokens
         )
         asked = prompts_of(questions.select("query_id", "question"), hits)
         answered = with_reply(asked, self.chat_client, "prompt", "answer", system_prompt, max_tokens, safe)
         return answered.select("query_id", "question", "retrieved_docs", "answer")
 
-    def infer(self, system_prompt: str, question: str, *, spark: SparkSession | None = None, **how) -> DataFrame:
-        """One row (retrieved_docs, question, answer)."""
+    def infer(
+        self,
+        system_prompt: str,
+        question: str,
+        top_k: int = 5,
+        max_tokens: int = 256,
+        mode: str = "standard",
+        index_type: str = LOCAL,
+        index: Any = None,
+        index_path: str | None = None,
+        *,
+        spark: SparkSession | None = None,
+        safe: str | None = None,
+    ) -> DataFrame:
+        """One row (retrieved_docs, question, answer). A local index that isn't there is a FileNotFoundError."""
         spark = spark or SparkSession.active()
         one = spark.createDataFrame([(0, question)], "query_id long, question string")
-        return self.infer_frame(one, system_prompt, **how).select("retrieved_docs", "question", "answer")
+        found = self.infer_frame(one, system_prompt, top_k, max_tokens, mode, index_type, index, index_path, safe)
+        return found.select("retrieved_docs", "question", "answer")
 
 
 class RAGInferenceRunner:
@@ -152,8 +178,8 @@ class RagEvalDataPrep:
         self.inferencer, self.system_prompt = inferencer, system_prompt
         self.where = {"index_type": index_type, "index_path": index_path, "index": index}
 
-    def run_rag(self, input_df: DataFrame, top_k: int = 5, limit: int | None = None, mode: str = "standard", order_col: str = "question") -> DataFrame:
-        """input_df with `answer`; a failed call answers SAFE_ANSWER. limit keeps the first rows, 0 none."""
+    def run_rag(self, input_df: DataFrame, top_k: int = 5, limit: int | None = None, mode: str = "standard", order_col: str | None = None) -> DataFrame:
+        """input_df with `answer`; a failed call answers SAFE_ANSWER. limit keeps the first rows, by order_col or as they come, 0 none."""
         if "question" not in input_df.columns:
             raise ValueError("the frame needs a column 'question'")
         rows = head(input_df, order_col, limit)
@@ -181,11 +207,26 @@ class EvalDatasetGroundTruthGenerator:
         max_total_pairs: int | None = None,
         order_col: str = "doc_seq",
     ) -> DataFrame:
-        """(question, ground truth). Batches whose call or reply fails give no pairs."""
-        batches = joined_batches(greedy_batches(df, text_column, order_col, max_chars), order_col)
-        asked = batches.withColumn("prompt", fill(prompt_template or prompts.QA_GENERATION, context=F.col("content")))
-        replies = with_reply(asked, self.chat_client, "prompt", "reply", max_tokens=3000, error_col="error")
-        return qa_frame(qa_pairs(replies, max_total=max_total_pairs))
+        """(question, ground truth, and whatever else replies name). Batches whose call or reply fails give no pairs.
+
+        With max_total_pairs batches are asked in order, a round of them at a
+        time, twice as many each round, until there are so many pairs.
+        """
+        batches = kept(joined_batches(greedy_batches(df, text_column, order_col, max_chars), order_col))
+        template, pairs, begin, size = prompt_template or prompts.QA_GENERATION, None, 0, FIRST_ROUND
+        last = batches.agg(F.max("batch")).first()[0]
+        while pairs is None or begin <= (-1 if last is None else last):
+            some = batches if max_total_pairs is None else batches.where(F.col("batch").between(begin, begin + size - 1))
+            asked = some.withColumn("prompt", fill(template, context=F.col("content")))
+            replies = kept(with_reply(asked, self.chat_client, "prompt", "reply", max_tokens=3000, error_col="error"))
+            found = qa_pairs(replies)
+            pairs = found if pairs is None else pairs.unionByName(found)
+            if max_total_pairs is None or pairs.limit(max_total_pairs).count() >= max_total_pairs:
+                break
+            begin, size = begin + size, 2 * size
+        if max_total_pairs is not None:
+            pairs = kept(pairs.orderBy("batch", "pos").limit(max_total_pairs))
+        return qa_frame(pairs, other_keys(pairs))
 
 
 class RagEvaluator:
@@ -194,7 +235,7 @@ class RagEvaluator:
     def __init__(self, chat_client: Any, experiment_name: str, sink_path: str | None = None, mlflow: bool = False):
         self.chat_client, self.experiment_name, self.sink_path, self.mlflow = chat_client, experiment_name, sink_path, mlflow
 
-    def evaluate(self, input_df: DataFrame, prompt: str | None = None, max_rows: int | None = None, order_col: str = "question") -> tuple[DataFrame, dict]:
+    def evaluate(self, input_df: DataFrame, prompt: str | None = None, max_rows: int | None = None, order_col: str | None = None) -> tuple[DataFrame, dict]:
         """The frame with scores, and a dict of metrics (None for an empty frame). max_rows of 0 means all."""
         rows = head_or_all(input_df, order_col, max_rows)
         asked = rows.withColumn(
@@ -203,9 +244,7 @@ class RagEvaluator:
         )
         replied = with_reply(asked, self.chat_client, "_prompt", "_reply")
         scored = evaluation.with_scores(replied, F.col("_reply")).drop("_prompt", "_reply")
-        # the judge is asked once: metrics, size and frame all read what is kept here
-        durable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
-        scored = scored.checkpoint() if durable else scored.persist()
+        scored = kept(scored)  # the judge is asked once: metrics, size and frame all read this
         row = evaluation.metrics(scored)
         found, size = row.first().asDict(), scored.count()
         if self.sink_path:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vectors import squared_l2
 
-#: Queries whose vectors go to every task at once.
-QUERY_BLOCK = 4096
+#: Bytes of a block of vectors or term weights.
+BLOCK_BYTES = 4 << 20
 
 
 def knn_l2(index: DataFrame, query: list[float], k: int = 3, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -27,6 +28,35 @@ def knn_l2(index: DataFrame, query: list[float], k: int = 3, id_col: str = "chun
     )
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(ids, vectors, dim): rows (id long, v array<double>) of a task packed into blocks of at most BLOCK_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}  # by dimension
+
+        def flush(dim: int) -> pa.RecordBatch:
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            columns = [pa.array([ids.tobytes()]), pa.array([vectors.tobytes()]), pa.array([dim], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "vectors", "dim"])
+
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat, begin = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+            for dim in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == dim)
+                step = max(1, BLOCK_BYTES // (8 * int(dim)))
+                for i in range(0, len(at), step):
+                    some = at[i : i + step]
+                    held.setdefault(int(dim), []).append((ids[some], flat[begin[some][:, None] + np.arange(dim)]))
+                    if sum(len(x) for x, _ in held[int(dim)]) >= step:
+                        yield flush(int(dim))
+        for dim in list(held):
+            yield flush(dim)
+
+    return rows.mapInArrow(run, "ids binary, vectors binary, dim int")
+
+
 def knn_l2_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -38,55 +68,41 @@ def knn_l2_batch(
 ) -> DataFrame:
     """(query_id, id, distance, ord): k nearest rows for each of many queries, squared L2, ord from 1.
 
-    Queries are taken in blocks of QUERY_BLOCK, which bounds what is sent to a
-    task. Each task keeps its k best per query, so what is shuffled is k rows
-    per query and task, never distances of pairs. With fewer than k rows all
-    are returned.
+    Both sides are packed into blocks of bounded bytes where they are, and each
+    block of queries meets each block of the index in some task, which returns
+    its k best per query: what is shuffled after that is k rows per query and
+    block, never distances of pairs. Nothing passes through the driver. With
+    fewer than k rows all are returned; vectors of another dimension don't meet.
     """
     rows = index.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")
     )
-    found = None
-    block: list = []
-
-    def search(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        squares = (vectors**2).sum(1)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x, own = np.array(batch["v"].tolist(), float), batch["id"].to_numpy()
-                rough = squares[:, None] - 2 * vectors @ x.T + (x**2).sum(1)
-                for i, row in enumerate(rough):
-                    if len(row) > k:
-                        limit = np.partition(row, k - 1)[k - 1]
-                        near = np.flatnonzero(row <= limit + 1e-9 * max(1.0, abs(limit)))
-                    else:
-                        near = np.arange(len(row))
-                    exact = ((x[near] - vectors[i]) ** 2).sum(1)
-                    d, n = exact, own[near]
-                    if i in top:
-                        d, n = np.concatenate([top[i][0], d]), np.concatenate([top[i][1], n])
-                    order = np.lexsort((n, d))[:k]
-                    top[i] = (d[order], n[order])
-            for i, (d, n) in top.items():
-                yield pd.DataFrame({"q": ids[i], "id": n, "distance": d})
-
-        return rows.mapInPandas(best, "q long, id long, distance double")
-
-    for r in asked.toLocalIterator():  # queries, a block at a time
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part = search(np.array([b["q"] for b in block]), np.array([b["v"] for b in block], float))
-            found, block = part if found is None else found.unionByName(part), []
-    if block:
-        part = search(np.array([b["q"] for b in block]), np.array([b["v"] for b in block], float))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], "q long, id long, distance double")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim = batch.column(4)[row].as_py()
+                own, x, ids, q = (
+                    np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in enumerate((np.int64, float, np.int64, float))
+                )
+                x, q = x.reshape(-1, dim), q.reshape(-1, dim)
+                squares, out = (x**2).sum(1), []
+                for i in range(0, len(q), 256):
+                    rough = (q[i : i + 256] ** 2).sum(1)[:, None] - 2 * q[i : i + 256] @ x.T + squares
+                    for j, given in enumerate(rough, i):
+                        near = np.arange(len(given))
+                        if len(given) > k:
+                            limit = np.partition(given, k - 1)[k - 1]
+                            near = np.flatnonzero(given <= limit + 1e-9 * max(1.0, abs(limit), float(squares.max())))
+                        exact = ((x[near] - q[j]) ** 2).sum(1)
+                        order = np.lexsort((own[near], exact))[:k]
+                        out.append((np.full(len(order), ids[j]), own[near][order], exact[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "id", "distance"])
+
+    of_query = _blocks(asked).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"))
+    met = _blocks(rows).crossJoin(of_query).where("dim = q_dim")  # of blocks, not of rows
+    found = met.select("ids", "vectors", "q_ids", "q_vectors", "dim").mapInArrow(search, "q long, id long, distance double")
     by_query = Window.partitionBy("q").orderBy("distance", "id")
     return (
         found.withColumn("ord", F.row_number().over(by_query))
@@ -108,32 +124,95 @@ def bm25(
 ) -> DataFrame:
     """(query_id, id, score, ord): BM25 (Robertson and Zaragoza, 2009), ties to the smaller id.
 
-    Term counts are joined with the questions' terms before anything is grouped,
-    so only terms that are asked for are shuffled.
+    Texts are tokenized once into the counts of terms that questions ask for,
+    which are kept on disk for the two passes over them. A task packs its
+    texts' weights into blocks; blocks of texts meet blocks of questions, which
+    return their k best per question. So a word that all texts hold and all
+    questions ask for costs additions in place, not a row for each pair.
     """
-    texts = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    size = texts.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))  # one row
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("q is not null")
+    wanted = asked.select("term").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
     counts = (
-        texts.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "id", "length")
+        texts.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
+        .join(wanted.withColumn("wanted", F.lit(True)), "term", "left")
+        .groupBy("id", "length", F.when(F.col("wanted"), F.col("term")).alias("term"))
         .agg(F.count("*").alias("tf"))
+        .persist(StorageLevel.DISK_ONLY)
     )
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    lengths = counts.select("id", "length").distinct()
+    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    held = counts.where(F.col("term").isNotNull())
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = (
-        counts.join(df, "term").crossJoin(F.broadcast(size)).join(asked, "term").groupBy("q", "id").agg(F.sum(part).alias("score"))
-    )
+    weights = held.join(df, "term").crossJoin(F.broadcast(size)).select("id", F.xxhash64("term").alias("t"), part.alias("w"))
+    of_text = weights.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("x"))
+    text_blocks = _packed(of_text.select("id", F.col("x.t").alias("t"), F.col("x.w").alias("w")))
+    of_query = asked.groupBy("q").agg(F.collect_list(F.xxhash64("term")).alias("t"))
+    query_blocks = _packed(of_query.select(F.col("q").alias("id"), "t", F.transform("t", lambda _: F.lit(1.0)).alias("w")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, sizes, t, w, q, q_sizes, q_t = (
+                    np.frombuffer(batch.column(i)[row].as_buffer(), kind)
+                    for i, kind in enumerate((np.int64, np.int64, np.int64, float, np.int64, np.int64, np.int64))
+                )
+                order = np.argsort(t, kind="stable")
+                sorted_t, of, sorted_w = t[order], np.repeat(np.arange(len(ids)), sizes)[order], w[order]
+                begin, end = np.searchsorted(sorted_t, q_t, "left"), np.searchsorted(sorted_t, q_t, "right")
+                out, ends = [], np.cumsum(q_sizes)
+                for name, i, j in zip(q, ends - q_sizes, ends):
+                    at = [slice(x, y) for x, y in zip(begin[i:j], end[i:j]) if x < y]
+                    if not at:
+                        continue
+                    who = np.concatenate([of[s] for s in at])
+                    score = np.bincount(who, np.concatenate([sorted_w[s] for s in at]), len(ids))
+                    near = np.unique(who)
+                    if len(near) > k:
+                        limit = np.partition(score[near], len(near) - k)[len(near) - k]
+                        near = near[score[near] >= limit - 1e-8]
+                    near = near[np.lexsort((ids[near], -np.round(score[near], 9)))][:k]
+                    out.append((np.full(len(near), name), ids[near], score[near]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "id", "score"])
+
+    asking = query_blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "t")])
+    found = text_blocks.crossJoin(asking).mapInArrow(search, "q long, id long, score double")  # of blocks, not of rows
     by_query = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
     return (
-        scored.withColumn("ord", F.row_number().over(by_query))
+        found.withColumn("ord", F.row_number().over(by_query))
         .where(F.col("ord") <= k)
         .select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "ord")
     )
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(ids, sizes, t, w): rows (id, t array<long>, w array<double>) of a task packed into blocks of at most BLOCK_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([np.concatenate(x).tobytes()]) for x in zip(*held)]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "t", "w"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((batch.column(0).to_numpy(), sizes, *(batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))))
+            size += 16 * (len(sizes) + int(sizes.sum()))
+            if size >= BLOCK_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "ids binary, sizes binary, t binary, w binary")
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, alpha: float = 0.5, k: int | None = None, score: str = "distance") -> DataFrame:
     """Weighted fusion of (query_id, content, score, ord) tables: alpha * semantic + (1 - alpha) * keyword.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..functions import text as tx
 from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
+from ..session import shared_dir
+from ..sources import loaders
 from ..sources.index import upsert_batches, upserted
 from .. import prompts
 from . import sql
@@ -87,9 +90,11 @@ def upsert_batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    fresh = docs.where("doc_id % 3 = 0").withColumn("n_chars", -F.col("n_chars"))
-    return upserted(docs.where("doc_id % 2 = 0"), fresh, "doc_id")
+    """All documents, those in English written over and the rest's successors added."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    changed = docs.where("lang = 'en'").withColumn("n_chars", -F.col("n_chars"))
+    added = docs.where("lang <> 'en'").withColumn("doc_id", -1 - F.col("doc_id"))
+    return upserted(docs, changed.unionByName(added), "doc_id")
 
 
 @query
@@ -206,7 +211,8 @@ def tool_plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(sql.PLAN_REPLY).alias("reply"))
     parsed = replies.select("conv_id", "turn", *[c.alias(n) for n, c in agents.plan_columns(F.col("reply")).items()])
     return parsed.select(
-        "conv_id", "turn", "final", F.size("calls").cast("long").alias("n_calls"), F.get(F.col("calls"), F.lit(0))["name"].alias("first_name")
+        "conv_id", "turn", "final", F.size("calls").cast("long").alias("n_calls"), F.get(F.col("calls"), F.lit(0))["name"].alias("first_name"),
+        F.get(F.col("calls"), F.lit(0))["arguments"].alias("first_arguments"), F.get(F.col("calls"), F.lit(1))["arguments"].alias("second_arguments"),
     )
 
 
@@ -234,16 +240,20 @@ def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("conv_id", "answer", F.size("messages").cast("long").alias("n_messages"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def _rag(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        client = GenAIEmbeddingClient("hash")
+        """Every benchmark item answered over an index of all documents; the stub's answer is the prompt's beginning."""
         docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-        index = docs.withColumn("embedding", hash_embedding(F.col("content")))
+        path = _folder(spark)
+        docs.withColumn("embedding", hash_embedding(F.col("content")).cast("array<float>")).write.parquet(path)
         questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-        chat = GenAIChatClient("stub")
-        inferencer = rag.RAGInferencer(client, chat, rag.Bm25Client())
-        hits = rag.retrieve(index, questions, client, mode, 5, chat, inferencer.keyword_search_client)
-        return rag.prompts_of(questions, hits).select("query_id", F.size("retrieved_docs").cast("long").alias("n_docs"), "prompt")
+        inferencer = rag.RAGInferencer(GenAIEmbeddingClient("hash"), GenAIChatClient("stub"), rag.Bm25Client())
+        answers = inferencer.infer_frame(questions, top_k=5, mode=mode, index_path=path)
+        return answers.select("query_id", F.size("retrieved_docs").cast("long").alias("n_docs"), "answer")
 
     run.__name__ = f"rag_{mode}"
     return run
@@ -251,3 +261,40 @@ def _rag(mode: str):
 
 for _mode in rag.MODES:
     query(_rag(_mode))
+
+
+@query
+def qa_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer pairs for every batch of all documents; the stub repeats the prompt, whose own example is the pair."""
+    maker = rag.EvalDatasetGroundTruthGenerator(GenAIChatClient("stub"))
+    return maker.process_dataframe(_t(spark, sf_dir, "documents"), "text", order_col="doc_id")
+
+
+@query
+def evaluate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge, BLEU, metrics and their sink, over every pair of turns."""
+    judge = GenAIChatClient("stub", replies={"": sql.FIXED_JUDGE})
+    path = _folder(spark)
+    rag.RagEvaluator(judge, "turns", path).evaluate(_turn_pairs(spark, sf_dir))
+    row = spark.read.parquet(path)
+    return row.select(*[F.round(m, 6).alias(m) for m, _ in evaluation.METRICS], "precision", "recall", "f1_score", F.col("evaluation_size").cast("long").alias("evaluation_size"))
+
+
+@query
+def load_folder_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as CSV files and loaded as a folder of documents."""
+    path = _folder(spark)
+    suppliers = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    suppliers.repartition(3).write.csv(path, header=True)
+    return loaders.load_documents_to_dataframe(spark, path).select("content")
+
+
+@query
+def load_single_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions written as one CSV file and loaded as one document in chunks."""
+    path = _folder(spark)
+    region = _t(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    region.coalesce(1).write.csv(path, header=True)
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").first()[0]
+    chunks = loaders.load_and_process_single_document(spark, path, written.rpartition("/")[2])
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "content")

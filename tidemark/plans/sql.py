@@ -69,8 +69,8 @@ FROM documents WHERE text IS NOT NULL AND NOT regexp_full_match(text, '\s*')
 UPSERT_BATCH_NUMBERS = "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS batch FROM documents"
 
 UPSERT_BY_KEY = """
-SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
-UNION ALL SELECT doc_id, -n_chars FROM documents WHERE doc_id % 3 = 0
+SELECT doc_id, CASE WHEN lang = 'en' THEN -n_chars ELSE n_chars END AS n_chars, lang FROM documents
+UNION ALL SELECT -1 - doc_id, n_chars, lang FROM documents WHERE lang <> 'en'
 """
 
 HEAD_LIMIT = "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 7"
@@ -116,12 +116,12 @@ _BM25 = r"""texts AS (
 BM25_TOPK = f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, ord FROM hits"
 
 FUSE_HYBRID = f"""
-WITH {_NEAR.format(asked='q.vec_id < 40 AND q.vec_id IN (SELECT item_id FROM benchmark)')}, {_BM25}, semantic AS (
+WITH {_NEAR.format(asked='q.vec_id IN (SELECT item_id FROM benchmark)')}, {_BM25}, semantic AS (
   SELECT query_id, text AS content, arg_max(distance, ord) AS s, min(ord) AS s_ord
   FROM near JOIN documents ON vec_id = doc_id GROUP BY ALL
 ), keyword AS (
   SELECT item_id AS query_id, text AS content, sum(score) AS w, min(ord) AS w_ord
-  FROM hits JOIN documents USING (doc_id) WHERE item_id < 40 GROUP BY ALL
+  FROM hits JOIN documents USING (doc_id) GROUP BY ALL
 ), fused AS (
   SELECT query_id, content, 0.5::DOUBLE * coalesce(s, 0) + 0.5::DOUBLE * coalesce(w, 0) AS score,
          coalesce(s_ord, w_ord + 4294967296) AS place
@@ -226,11 +226,89 @@ FROM one
 """
 
 TOOL_PLAN_PARSE = f"""
-WITH replies AS (SELECT conv_id, turn, {PLAN_REPLY} AS reply FROM conversations)
+WITH replies AS (SELECT conv_id, turn, {PLAN_REPLY} AS reply FROM conversations),
+plans AS (SELECT *, CASE WHEN json_valid(reply) THEN reply END AS plan FROM replies)
 SELECT conv_id, turn,
-  CASE WHEN NOT json_valid(reply) THEN reply WHEN json_exists(reply, '$.tool_calls') THEN NULL
-       ELSE coalesce(json_extract_string(reply, '$.final_answer'), reply) END AS final,
-  CASE WHEN json_valid(reply) AND json_exists(reply, '$.tool_calls') THEN json_array_length(reply, '$.tool_calls')::BIGINT ELSE 0 END AS n_calls,
-  CASE WHEN json_valid(reply) THEN json_extract_string(reply, '$.tool_calls[0].name') END AS first_name
-FROM replies
+  CASE WHEN json_exists(plan, '$.tool_calls') THEN NULL ELSE coalesce(json_extract_string(plan, '$.final_answer'), reply) END AS final,
+  coalesce(json_array_length(plan, '$.tool_calls')::BIGINT, 0) AS n_calls,
+  json_extract_string(plan, '$.tool_calls[0].name') AS first_name,
+  CASE WHEN json_exists(plan, '$.tool_calls') THEN coalesce(json_extract(plan, '$.tool_calls[0].arguments')::VARCHAR, '{{}}') END AS first_arguments,
+  CASE WHEN json_exists(plan, '$.tool_calls') THEN coalesce(json_extract(plan, '$.tool_calls[1].arguments')::VARCHAR, '{{}}') END AS second_arguments
+FROM plans
+"""
+
+AGENT_LOOP = r"""
+SELECT conv_id, len(regexp_extract_all(arg_min(text, turn), '\S+'))::VARCHAR AS answer, count(*) + 1 AS n_messages
+FROM conversations GROUP BY conv_id
+"""
+
+# Unit vectors of hashed terms, dense, in single precision as an index holds them.
+_HASHED = r"""{name}_counts AS (
+  SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot, count(*) AS n
+  FROM (SELECT {id} AS id, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')) AS term FROM {table}) GROUP BY ALL
+), {name}_unit AS (
+  SELECT id, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT AS w FROM {name}_counts
+), {name} AS (
+  SELECT ids.id, list(coalesce(w, 0)::DOUBLE ORDER BY s) AS v
+  FROM (SELECT {id} AS id FROM {table}) ids CROSS JOIN unnest(range(64)) AS r(s) LEFT JOIN {name}_unit u ON u.id = ids.id AND u.slot = s
+  GROUP BY ids.id
+)"""
+
+_DOCS_HASHED = _HASHED.format(name="doc_vectors", id="doc_id", text="text", table="documents")
+_NEAR_HASHED = """near AS (
+  SELECT q.id AS query_id, d.id AS doc_id,
+         list_sum(list_transform(range(1, 65), lambda i: pow(d.v[i] - q.v[i], 2))) AS distance,
+         row_number() OVER (PARTITION BY q.id ORDER BY distance, d.id) AS ord
+  FROM doc_vectors d, asked_vectors q QUALIFY ord <= 5
+), semantic AS (
+  SELECT query_id, text AS content, distance AS score, ord FROM near JOIN documents USING (doc_id)
+)"""
+
+_ANSWERED = r"""
+SELECT item_id AS query_id, count(content) AS n_docs,
+       substr(concat('Context:', chr(10), coalesce(string_agg(trim(regexp_replace(content, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY ord), ''),
+                     chr(10), chr(10), 'Question: ', benchmark.text), 1, 256) AS answer
+FROM benchmark LEFT JOIN {hits} ON query_id = item_id GROUP BY item_id, benchmark.text
+"""
+
+
+def _asked(text: str) -> str:
+    return _HASHED.format(name="asked_vectors", id="item_id", text=text, table="benchmark")
+
+
+RAG_STANDARD = f"WITH {_DOCS_HASHED}, {_asked('text')}, {_NEAR_HASHED} {_ANSWERED.format(hits='semantic')}"
+
+# the passage that the stub makes up is the question's beginning
+RAG_HYDE = f"WITH {_DOCS_HASHED}, {_asked('substr(text, 1, 256)')}, {_NEAR_HASHED} {_ANSWERED.format(hits='semantic')}"
+
+RAG_HYBRID = f"""
+WITH {_DOCS_HASHED}, {_asked('text')}, {_NEAR_HASHED}, {_BM25}, by_text AS (
+  SELECT query_id, content, arg_max(score, ord) AS s, min(ord) AS s_ord FROM semantic GROUP BY ALL
+), keyword AS (
+  SELECT item_id AS query_id, text AS content, sum(score) AS w, min(ord) AS w_ord FROM hits JOIN documents USING (doc_id) GROUP BY ALL
+), fused AS (
+  SELECT query_id, content, row_number() OVER (PARTITION BY query_id
+           ORDER BY 0.5::DOUBLE * coalesce(s, 0) + 0.5::DOUBLE * coalesce(w, 0) DESC, coalesce(s_ord, w_ord + 4294967296)) AS ord
+  FROM by_text FULL JOIN keyword USING (query_id, content) QUALIFY ord <= 5
+)
+{_ANSWERED.format(hits='fused')}
+"""
+
+QA_GENERATE = f"""
+WITH RECURSIVE {_BATCHES} SELECT '...' AS question, '...' AS "ground truth" FROM (SELECT DISTINCT batch FROM walk)
+"""
+
+FIXED_JUDGE = "Answer Relevance: 0.75 Accuracy: 1.0 Completeness: 0.5 Clarity: 0.25 Semantic Similarity Score: 90%"
+
+EVALUATE_ANSWERS = f"""
+WITH bleus AS ({BLEU4.strip().replace('round(', '(').replace(', 6) AS bleu', ') AS bleu')})
+SELECT round(avg(bleu), 6) AS avg_bleu, 0.75::DOUBLE AS avg_answer_relevance, 1.0::DOUBLE AS avg_accuracy, 0.5::DOUBLE AS avg_completeness,
+  0.25::DOUBLE AS avg_clarity, 90.0::DOUBLE AS avg_semantic_similarity, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1_score,
+  count(*) AS evaluation_size FROM bleus
+"""
+
+LOAD_FOLDER_CSV = "SELECT concat_ws(' | ', s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR) AS content FROM supplier"
+
+LOAD_SINGLE_CSV = r"""
+SELECT 0::BIGINT AS chunk_id, string_agg(concat_ws(' | ', r_regionkey::VARCHAR, r_name), chr(10) ORDER BY r_regionkey) AS content FROM region
 """

@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own where none is named and all runs in one process, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    own = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "tidemark") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,15 @@ MANAGED_KEYS = ("catalog", "schema", "endpoint_name", "embedding_dim", "index_na
 
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
-    """A local index. A missing one fails at once."""
-    return spark.read.schema(INDEX_SCHEMA).parquet(index_path)
+    """A local index; FileNotFoundError where there is none."""
+    if index_path is None:
+        raise FileNotFoundError("a local index needs index_path")
+    try:
+        return spark.read.schema(INDEX_SCHEMA).parquet(index_path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no index at {index_path}") from None
+        raise
 
 
 def attach_index(spark: SparkSession, index: str | DataFrame | None) -> DataFrame:
@@ -41,6 +49,26 @@ def upserted(existing: DataFrame, records: DataFrame, id_col: str = "id") -> Dat
     return existing.join(records.select(id_col), id_col, "left_anti").unionByName(records)
 
 
+def replace_table(spark: SparkSession, name: str, records: DataFrame) -> None:
+    """Records written over those of the same id in a table, or as a new one.
+
+    The new state is written once, beside the old, and takes its name by two
+    renames; a run that broke off between them is finished or undone first, so
+    one whole state is always there.
+    """
+    staged, old = f"{name}_staged", f"{name}_old"
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+    for left in (staged, old):
+        spark.sql(f"DROP TABLE IF EXISTS {left}")
+    there = spark.catalog.tableExists(name)
+    (upserted(spark.table(name), records) if there else records).write.saveAsTable(staged)
+    if there:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
 class VectorEmbedding:
     """Builds indexes: chunk, embed, write."""
 
@@ -80,13 +108,7 @@ class VectorEmbedding:
                     F.raise_error(F.lit(f"vectors must have {embedding_dim} components"))
                 ),
             )
-            if not spark.catalog.tableExists(name):
-                checked.write.saveAsTable(name)
-                return
-            staged = f"{name}_staged"
-            upserted(spark.table(name), checked).write.mode("overwrite").saveAsTable(staged)
-            spark.table(staged).write.mode("overwrite").saveAsTable(name)
-            spark.sql(f"DROP TABLE {staged}")
+            replace_table(spark, name, checked)
         except Exception as e:
             raise RuntimeError(f"upsert into {name} failed: {e}") from e
 

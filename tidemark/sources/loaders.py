@@ -3,8 +3,8 @@
 Files are listed and read by Spark's binaryFile source, so any store Spark
 reads will do, and parsed a file at a time on the executors. What can't be
 parsed goes to an error column instead of ending the load. Word, PowerPoint and
-Excel files are read from their XML with the standard library; PDF needs one of
-two optional packages.
+xlsx files are read from their XML with the standard library; PDF and old xls
+files need optional packages.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,62 @@ def _xml_texts(raw: bytes, names: str, block: str) -> list[str]:
     return out
 
 
+def _column(reference: str) -> int:
+    """A cell's column from 0, of a reference such as AB12."""
+    n = 0
+    for letter in reference:
+        if not letter.isalpha():
+            break
+        n = 26 * n + ord(letter.upper()) - 64
+    return n - 1
+
+
+def _cell(cell: ElementTree.Element, shared: list[str]):
+    """A cell's value as text, number, truth or None."""
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter() if t.tag.endswith("}t"))
+    raw = next((v.text for v in cell if v.tag.endswith("}v")), None)
+    if raw is None:
+        return None
+    if kind == "s":
+        return shared[int(raw)]
+    if kind in ("str", "e"):
+        return raw
+    if kind == "b":
+        return raw == "1"
+    value = float(raw)
+    return int(value) if value.is_integer() else value
+
+
 def _sheets(raw: bytes) -> list[tuple[str, str]]:
+    """(name, table as text) of each sheet of an xlsx workbook, the first row as header; dates stay numbers."""
+    archive = zipfile.ZipFile(io.BytesIO(raw))
+    names = set(archive.namelist())
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
+            shared.append("".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    out = []
+    for sheet in (x for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")):
+        target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        rows = []
+        for row in (x for x in ElementTree.fromstring(archive.read(path)).iter() if x.tag.endswith("}row")):
+            at = int(row.get("r", len(rows) + 1)) - 1
+            rows += [{} for _ in range(at + 1 - len(rows))]
+            for n, cell in enumerate(c for c in row if c.tag.endswith("}c")):
+                rows[at][_column(cell.get("r")) if cell.get("r") else n] = _cell(cell, shared)
+        width = 1 + max((max(r, default=-1) for r in rows), default=-1)
+        table = [[r.get(i) for i in range(width)] for r in rows]
+        header = [f"Unnamed: {i}" if h is None else h for i, h in enumerate(table[0])] if table else []
+        frame = pd.DataFrame(table[1:], columns=header).infer_objects()
+        out.append((sheet.get("name"), frame.to_string(index=False)))
+    return out
+
+
+def _old_sheets(raw: bytes) -> list[tuple[str, str]]:
     return [(name, sheet.to_string(index=False)) for name, sheet in pd.read_excel(io.BytesIO(raw), sheet_name=None).items()]
 
 
@@ -72,7 +128,7 @@ def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
     if kind == "csv":
         return [(name, r) for r in _csv_rows(raw)]
     if kind in ("xls", "xlsx"):
-        return [(f"{name}::{sheet}", text) for sheet, text in _sheets(raw)]
+        return [(f"{name}::{sheet}", text) for sheet, text in (_sheets if kind == "xlsx" else _old_sheets)(raw)]
     if kind == "txt":
         return [(name, raw.decode("utf-8").strip())]
     if kind == "docx":
@@ -84,7 +140,7 @@ def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
 
 def parsed_files(spark: SparkSession, folder_path: str) -> DataFrame:
     """(filename, part, content, error) of all supported files right in the folder."""
-    pattern = "*.{" + ",".join(f"{e},{e.upper()}" for e in SUPPORTED) + "}"
+    pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in SUPPORTED) + "}"  # in any case
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder_path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,26 +176,42 @@ def load_documents_to_dataframe(spark: SparkSession, folder_path: str) -> DataFr
 def load_and_process_single_document(
     spark: SparkSession, folder_path: str, filename: str, max_chars: int = 1000, overlap: int = 100
 ) -> DataFrame:
-    """(filename, chunk_id, content) of one .pdf, .txt or .csv file."""
+    """(filename, chunk_id, content) of one .pdf, .txt or .csv file.
+
+    A file that isn't there is a FileNotFoundError, one of another type or that
+    can't be read a ValueError; both are raised here, so the file is parsed now,
+    by an executor, and only its chunks are kept.
+    """
     kind = filename.lower().rpartition(".")[2]
+    files = spark.read.format("binaryFile")
+    try:
+        files = files.load(f"{folder_path.rstrip('/')}/{filename}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"File not found: {folder_path}/{filename}") from None
+        raise
     if kind not in ("pdf", "txt", "csv"):
         raise ValueError(f"Error reading {filename}: unsupported file type")
-    files = spark.read.format("binaryFile").load(f"{folder_path.rstrip('/')}/{filename}")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
+            texts, errors = [], []
             for raw in batch["content"]:
                 try:
                     texts.append(
                         raw.decode("utf-8") if kind == "txt" else "\n".join(_csv_rows(raw)) if kind == "csv" else "".join(_pdf_pages(raw))
                     )
+                    errors.append(None)
                 except Exception as e:
-                    raise ValueError(f"Error reading {filename}: {e}") from e
-            yield pd.DataFrame({"filename": filename, "content": texts})
-
-    texts = files.select("content").mapInPandas(whole, "filename string, content string")
-    return explode_chunks(texts, split_text(F.col("content"), max_chars, overlap), "filename")
+                    texts.append(None)
+                    errors.append(str(e))
+            yield pd.DataFrame({"filename": filename, "content": texts, "error": errors})
+
+    read = files.select("content").mapInPandas(whole, "filename string, content string, error string").persist()
+    if bad := read.where(F.col("error").isNotNull()).first():
+        read.unpersist()
+        raise ValueError(f"Error reading {filename}: {bad['error']}")
+    return explode_chunks(read, split_text(F.col("content"), max_chars, overlap), "filename")
 
 
 def linearize_csv(spark: SparkSession, path: str) -> DataFrame:
