@@ -9,11 +9,13 @@ As part of tidemark.llm it is removable together with that subpackage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, mixing, packing, surrogates, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import scratch, shared_dir, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. Of the tables written on the way only each stage's own result stays."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        made = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(made)
+        docs = spark.read.schema(out.schema).parquet(made)
     return STAGES[-1][1](spark, docs, sf_dir)
