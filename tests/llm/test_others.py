@@ -114,12 +114,13 @@ def test_queries_and_pipeline(spark):
     from tidemark.llm import queries
 
     sf = "/root/testdata/sf0.001"
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
-    got = sorted(map(tuple, queries.QUERIES["op5_mix_sources"](spark, sf).collect()))
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"rule"}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    cols = "doc_id, size, source_size, target, taken"
-    assert got == sorted(con.execute(f"select {cols} from ({queries.ORACLE_SQL['op5_mix_sources']})").fetchall())
+    for name, text in queries.ORACLE_SQL.items():
+        frame = queries.QUERIES[name](spark, sf)
+        want = con.execute(f"select {', '.join(frame.columns)} from ({text})").fetchall()
+        assert sorted(map(tuple, frame.collect())) == sorted(want), name
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n, seen = docs.count(), docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -71,6 +71,88 @@ def test_token_counts_add_up(docs, no_docs, whole, spark):
     assert token_counts.attribute(widths, starts)[1] == 1
 
 
+def plain_attributed(whole, text: str, starts: list[int], rule: str) -> list[int]:
+    """Tokens per section, byte by byte, from the tokenizer's own tokens."""
+    letters, out, at = bpe._byte_letters(), [0] * len(starts), 0
+    for token in whole.encode(text, add_special_tokens=False).tokens:
+        n = len(token.encode() if token in ("<|endoftext|>",) else bytes(letters[c] for c in token))
+        of = [max(k for k, s in enumerate(starts) if s <= p) for p in range(at, at + n)]
+        best = of[0] if rule == "first" else of[-1] if rule == "last" else max(sorted(set(of)), key=of.count)
+        out[best] += 1
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_and_fields_equal_the_tokenizer(spark, texts, whole, rule):
+    rows = [(i, f"s{i}" if i % 3 else None, t) for i, (_, t) in enumerate(texts) if t is None or len(t) < 3000]
+    rows += [(900, "a\n", "\n\n\nx\n \n y"), (901, "é", "漢\n漢  \n\t\t\n漢"), (902, "", "it's\nwe'll\n\n12,3\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    for r in token_counts.count_tokens(frame, fields=["a", "b"], rule=rule).collect():
+        a, b = next((a or "", b or "") for i, a, b in rows if i == r.doc_id)
+        text = f"{a}\n{b}"
+        raw = text.encode()
+        lines = [p for p in [0] + [k + 1 for k, c in enumerate(raw) if c == 10] if p < len(raw)]
+        assert r.section_tokens == plain_attributed(whole, text, lines, rule), text[:80]
+        assert r.field_tokens == plain_attributed(whole, text, [0, len(a.encode()) + 1], rule), text[:80]
+
+
+def test_buckets_hold_equal_lengths(docs, spark, tmp_path):
+    packed = packing.pack_powers(docs, limit=64)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.where("length <> shiftleft(1, bucket)").count() == 0
+    key_ = ["doc_id", "start", "length", "ids"]
+    assert sorted(map(str, back.select(key_).collect())) == sorted(map(str, packed.select(key_).collect()))
+
+
+def test_caches_hold_no_long_pieces(whole):
+    own, long = bpe.load(bpe.default_path()), "x" * 5000
+    own.encode(f"a {long} {long} b")
+    assert long not in own.cache and own.cache.chars <= bpe.CACHE_CHARS + 100
+    score = toxicity.ToxicModel(np.zeros(1 << 10, np.float32), 0.0, 16).scorer()
+    assert score(f"a {long}") == 0.5
+    assert not any(len(w) > toxicity.CACHED_WORD for c in score.__closure__ if isinstance(c.cell_contents, dict) for w in c.cell_contents)
+
+
+def test_scores_equal_a_plain_restatement():
+    rng = np.random.default_rng(5)
+    model = toxicity.ToxicModel(rng.normal(size=1 << 10).astype(np.float32) * 3, -0.2, 4)
+    score = model.scorer()
+
+    def value(word):
+        ids = toxicity.grams(word, 1 << 10)
+        return sum(float(model.pull[i]) for i in ids) / len(ids) if ids else 0.0
+
+    for text in ["", None, "one", "a b c d e f g", "Same same same other", "x! ... ?? y", " ".join(f"w{i}" for i in range(50))]:
+        words = (text or "").lower().split()
+        values = [0.0 if k and words[k - 1] == w else value(w) for k, w in enumerate(words)]
+        top = max([sum(values[i : i + 4]) for i in range(0, len(values), 4)] or [0.0])
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-(top / 4 - 0.2))), abs=1e-6)
+
+
+def test_a_hot_passage_within_blobs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i // 2, f"{word()} {word()} {passage if i % 3 else passage[: 100 + i]} {word()}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, seen = Counter(), {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], i), i)
+    for i, t in rows:
+        gone = [False] * len(t)
+        for p in range(len(t) - 49):
+            if seen[t[p : p + 50]] < i:
+                gone[p : p + 50] = [True] * 50
+        want[i, sum(gone), "".join(c for c, g in zip(t, gone) if not g)] += 1
+    for parts, size in ((1, suffixes.BLOB_BYTES), (4, suffixes.BLOB_BYTES), (1, 2000)):
+        monkeypatch.setattr(suffixes, "BLOB_BYTES", size)
+        got = suffixes.drop_repeats(frame.repartition(parts)).collect()
+        assert Counter((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got) == want
+
+
 def plain_fingerprint(text, n=3):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:

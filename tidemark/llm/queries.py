@@ -42,7 +42,7 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
 
 
 def op9_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that op3 judges by, and its base rules, which SQL can say."""
+    stats = quality.rule_statistics(table(spark, sf_dir, "documents"))
+    return stats.withColumn("base_failed", quality.base_failed())
+
+
 QUERIES = {
     "op1_hilbert_neighbours": op1_hilbert_neighbours,
     "op2_subword_toxicity": op2_subword_toxicity,
@@ -67,6 +73,7 @@ QUERIES = {
     "op8_token_attribution": op8_token_attribution,
     "op9_suffix_runs": op9_suffix_runs,
     "op10_pack_powers": op10_pack_powers,
+    "rule_statistics": rule_statistics,
 }
 
 OP5_SQL = r"""
@@ -102,4 +109,52 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL}
+RULE_STATISTICS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, w[i:i + 2] AS gram FROM words, unnest(range(1, len(w) - 1)) AS t(i)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, unnest([0, 1, 2]) AS t(k) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+       coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""
+
+#: Every 50-byte string of every document; starts that a smaller id holds; the runs they cover and what lies between.
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), strings AS (
+  SELECT doc_id, p, md5(b[p:p + 49]) AS s FROM docs, unnest(range(1, n - 48)) AS t(p)
+), held AS (
+  SELECT doc_id, p FROM strings QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id
+), edges AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS opens FROM held
+), numbered AS (
+  SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM edges
+), spans AS (
+  SELECT doc_id, span, min(p) AS begin_at, max(p) + 50 AS end_at FROM numbered GROUP BY ALL
+), removed AS (
+  SELECT doc_id, sum(end_at - begin_at)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, end_at AS a, lead(begin_at) OVER (PARTITION BY doc_id ORDER BY begin_at) AS z FROM spans
+  UNION ALL SELECT doc_id, 1, min(begin_at) FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(hex(b[a:coalesce(z, n + 1) - 1]), '' ORDER BY a) AS h
+  FROM pieces JOIN docs USING (doc_id) WHERE coalesce(z, n + 1) > a GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op9_suffix_runs": OP9_SQL, "rule_statistics": RULE_STATISTICS_SQL}

@@ -13,7 +13,8 @@ so only the suffixes that can matter are exchanged:
    range answers each blob with one bit per hash: does another document hold it?
 4. Of the anchors that survive, blobs send the suffixes that begin there,
    sorted, front-coded against the one before and with what lies left of the
-   anchor, by the same ranges.
+   anchor, by the same ranges; of those with equal surroundings only the one of
+   least id, so that a passage in most texts comes once from each blob.
 5. Each range merges its runs in a loser tree that carries longest common
    prefixes and so never compares a known prefix again. The merged order and
    its prefix lengths say for every right length, and a sort of the left sides
@@ -28,6 +29,7 @@ are compared by sorting, never in pairs.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, over_texts
 
 #: Bytes in a string, in an anchor's gram; grams in a window; bytes left of an anchor that matter.
 LENGTH = 50
@@ -54,28 +56,35 @@ NO_ID = np.iinfo(np.int64).max
 # -- blobs ------------------------------------------------------------------
 
 
-def _pack(**arrays) -> bytes:
-    """Named arrays and bytes as one compressed string."""
-    import io
+_KINDS = "?BHIQbhiq"
+
 
+def _pack(**arrays) -> bytes:
+    """Named arrays as one compressed string: of each its kind and shape, then its bytes, as most messages are small."""
     import zstandard
 
-    out = io.BytesIO()
+    head, body = [], []
     for x in arrays.values():
         x = np.ascontiguousarray(x)
-        np.lib.format.write_array(out, x, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+        head.append(struct.pack(f"<BB{x.ndim}I", _KINDS.index(x.dtype.char.replace("l", "q").replace("L", "Q")), x.ndim, *x.shape))
+        body.append(x.tobytes())
+    raw = b"".join([bytes([len(head)]), *head, *body])
+    return zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress(raw)
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
-    import io
-
     import zstandard
 
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(packed))
-    size, out = len(raw.getbuffer()), []
-    while raw.tell() < size:
-        out.append(np.lib.format.read_array(raw, allow_pickle=False))
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    at, shapes, out = 1, [], []
+    for _ in range(raw[0]):
+        kind, dims = raw[at], raw[at + 1]
+        shapes.append((np.dtype(_KINDS[kind]), struct.unpack_from(f"<{dims}I", raw, at + 2)))
+        at += 2 + 4 * dims
+    for kind, shape in shapes:
+        n = int(np.prod(shape))
+        out.append(np.frombuffer(raw, kind, n, at).reshape(shape))
+        at += n * kind.itemsize
     return out
 
 
@@ -121,9 +130,7 @@ def blobs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(
-        run, "blob long, n_bytes long, body binary"
-    )
+    return over_texts(docs.select(col(id_col).cast("long"), col(text_col).cast("string")), run, "blob long, n_bytes long, body binary")
 
 
 # -- anchors ----------------------------------------------------------------
@@ -283,22 +290,38 @@ def suffix_runs(judged: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def _front_coded(b: Blob, at: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sorted suffixes, and of each distinct surrounding the entry of least id alone.
+
+    A blob's other entries with the same bytes around them are listed by place,
+    and whether their id is larger: what holds for the least decides on them.
+    """
     suffix, right = _around(b, at, doc, True)
     order = np.argsort(suffix.view(f"S{LENGTH}").reshape(-1), kind="stable")
-    suffix, at, doc = suffix[order], at[order], doc[order]
+    suffix, right, at, doc = suffix[order], right[order], at[order], doc[order]
     left, before = _around(b, at, doc, False)
-    prefix = _neighbour_prefix(suffix)
-    fresh = np.flatnonzero((prefix < LENGTH) | (np.arange(len(at)) == 0))
+    prefix, ids = _neighbour_prefix(suffix), b.ids[doc]
+    distinct = (prefix < LENGTH) | (np.arange(len(at)) == 0)
+    of = np.cumsum(distinct)
+    order = np.lexsort((at, ids, right, before, left.view(f"S{LEFT}").reshape(-1), of))
+    left, right, before, ids, at, of = left[order], right[order], before[order], ids[order], at[order], of[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (of[1:] != of[:-1]) | (right[1:] != right[:-1]) | (before[1:] != before[:-1]) | (left[1:] != left[:-1]).any(1)
+    first = np.flatnonzero(new)
+    least = np.repeat(ids[first], np.diff(np.append(first, len(at))))
+    fresh = np.flatnonzero(distinct)
     rest = np.arange(LENGTH) >= prefix[fresh, None]
     return _pack(
         prefix=prefix[fresh].astype(np.uint8),
-        copies=np.diff(np.append(fresh, len(at))).astype(np.uint32),
+        copies=np.bincount(of[first] - 1, minlength=len(fresh)).astype(np.uint32),
         rest=suffix[fresh][rest],
-        right=right[order],
-        before=before,
-        left=left,
-        ids=b.ids[doc],
-        at=at.astype(np.uint32),
+        right=right[first],
+        before=before[first],
+        left=left[first],
+        ids=ids[first],
+        at=at[first].astype(np.uint32),
+        same=(np.diff(np.append(first, len(at))) - 1).astype(np.uint32),
+        same_at=at[~new].astype(np.uint32),
+        same_later=(ids > least)[~new],
     )
 
 
@@ -412,26 +435,34 @@ def _marks(runs: pd.DataFrame) -> pd.DataFrame:
     entry = np.repeat(starts[row] - begins, n_each) + np.arange(n_each.sum())
     prefix = np.full(len(entry), LENGTH, np.int64)
     prefix[begins] = out_share
-    right, before, left, ids, at = (np.concatenate([x[i] for x in opened])[entry] for i in (3, 4, 5, 6, 7))
+    right, before, left, ids, at, same = (np.concatenate([x[i] for x in opened])[entry] for i in (3, 4, 5, 6, 7, 8))
     blob = np.repeat(runs["blob"].to_numpy("int64"), np.diff(base))[entry]
+    same = same.astype(np.int64)
+    listed = np.cumsum(np.concatenate([x[8] for x in opened]).astype(np.int64))[entry] - same  # where each entry's list begins
+    same_at, same_later = (np.concatenate([x[i] for x in opened]) for i in (9, 10))
     del opened
 
     order = np.argsort(np.ascontiguousarray(left).view(f"S{LEFT}").reshape(-1), kind="stable")
     left_prefix = _neighbour_prefix(left[order])
     del left
-    mask = np.zeros(len(entry), np.uint64)
+    mask, whole = np.zeros(len(entry), np.uint64), np.zeros(len(entry), np.uint64)
     left_class = np.empty(len(entry), np.int64)
     for o in range(GRAMS):
         left_class[order] = _classes(left_prefix, o)
         ok = np.flatnonzero((right >= LENGTH - o) & (before >= o))
         if not len(ok):
             continue
+        whole[ok] |= np.uint64(1 << o)
         key = _classes(prefix, LENGTH - o)[ok] * (len(entry) + 1) + left_class[ok]
         by = np.argsort(key, kind="stable")
         new = np.concatenate([[True], key[by][1:] != key[by][:-1]])
         least = np.minimum.reduceat(ids[ok][by], np.flatnonzero(new))
         later = ids[ok][by] > least[np.cumsum(new) - 1]
         mask[ok[by[later]]] |= np.uint64(1 << o)
+    # entries of larger id than the least with the same surroundings in their blob are held earlier by that one
+    place = np.repeat(listed - (np.cumsum(same) - same), same) + np.arange(same.sum())
+    also = np.where(same_later[place], np.repeat(whole, same), np.repeat(mask, same))
+    blob, at, mask = np.concatenate([blob, np.repeat(blob, same)]), np.concatenate([at, same_at[place]]), np.concatenate([mask, also])
     hit = np.flatnonzero(mask)
     hit = hit[np.lexsort((at[hit], blob[hit]))]
     names, first = np.unique(blob[hit], return_index=True)
