@@ -312,6 +312,16 @@ def test_mixing_targets_and_copies(docs, no_docs, texts, spark):
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     # weights a 3, b 1, c 2, null 3; 1665 words to give, b's cap 200, null's 20, c's 0
     assert got == {"a": 1665 - 220.0, "b": 200.0, None: 20.0, "c": 0.0}
+    rng = random.Random(6)
+    many = [(f"s{k:03}", rng.choice([0, 5, 10, 10, 30, 60, 1000])) for k in range(200)] + [(None, 40)]
+    weight = {s: (3, 1, 2)[k % 3] for k, (s, _) in enumerate(many)}
+    target, open_, rest = {}, dict(many), 1.5 * sum(n for _, n in many)
+    while full := {s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 2 * open_[s]}:
+        target |= {s: 2.0 * open_[s] for s in full}
+        rest -= sum(2 * open_.pop(s) for s in full)
+    target |= {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    frame = spark.createDataFrame(many, "source string, source_size long").repartition(3)
+    assert {r.source: r.target for r in mixing.source_targets(frame).collect()} == pytest.approx(target)
     plan = mixing.mixing_plan(docs).collect()
     assert len(plan) == len(texts)
     assert Counter(key(r.doc_id, r["size"]) for r in plan) == Counter(key(i, len(WORD.findall(t or ""))) for i, t in texts)

@@ -14,8 +14,8 @@ import os
 
 import numpy as np
 
-#: Pieces kept per Python worker; beyond it the cache starts afresh.
-CACHE_PIECES = 400_000
+#: Characters of the pieces kept per Python worker, beyond which the cache starts afresh, and of the longest of them.
+CACHE_CHARS, CACHED_PIECE = 2_000_000, 64
 
 _LOADED: dict[str, "PieceCachedBpe"] = {}
 
@@ -49,7 +49,8 @@ class PieceCachedBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         letters = _byte_letters()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {
@@ -77,15 +78,21 @@ class PieceCachedBpe:
         class Cache(dict):
             """Words to packed ids of a space and the word; odd ones to None."""
 
+            chars = 0
+
             def __missing__(cache, word):
                 if not word or word[0].isspace():
                     return None
                 if word[-1] in ".,":
                     stem = word[:-1]
                     if stem and stem[-1].isalpha() and (ids := cache[stem]) is not None:
-                        cache[word] = ids = ids + pack(fast.encode_ordinary(word[-1]))
-                        return ids
-                cache[word] = ids = pack(fast.encode_ordinary(" " + word))
+                        return cache.keep(word, ids + pack(fast.encode_ordinary(word[-1])))
+                return cache.keep(word, pack(fast.encode_ordinary(" " + word)))
+
+            def keep(cache, word, ids):
+                if len(word) <= CACHED_PIECE:
+                    cache[word] = ids
+                    cache.chars += len(word)
                 return ids
 
         self.cache = Cache()
@@ -100,7 +107,7 @@ class PieceCachedBpe:
             return b""
         if any(s in text for s in self.special):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self.cache) > CACHE_PIECES:
+        if self.cache.chars > CACHE_CHARS:
             self._new_cache()
         words = text.split(" ")
         try:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import shared_dir
 
 #: A word: a maximal run of characters outside space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,13 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own where none is named, as in tests."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+#: Folders of open scratch() blocks, the innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end; whatever reads them must be written by then."""
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of any store that Spark reads, and all in it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,9 +54,48 @@ def cut(df: DataFrame) -> DataFrame:
     planner knows the table's size, so it broadcasts a side only if its files
     are below spark.sql.autoBroadcastJoinThreshold and shuffles otherwise.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes that go to Python at once, where the session still has Spark's own numbers: texts may be long.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"),
+)
+
+
+def over_texts(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches of bounded size, and memory given back when a task ends."""
+    conf = rows.sparkSession.conf
+    for name, sparks, ours in BATCHES:
+        if conf.get(name) == sparks:
+            conf.set(name, ours)
+
+    def lean(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Freed memory to the system: workers, and the driver, outlive what they hold for a task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def n_words(text: Column) -> Column:

@@ -9,12 +9,12 @@ A text is the set of its shingles' hashes; equal sets are one. Links come from
    order of all shingles their first n - ceil(t n) + 1 share one. The order puts
    shingles rare in a bounded sample first; it has no influence on the result.
    Sets that share one and aren't linked yet are compared with their group's
-   least, then its greatest, then with each other. The last happens in place:
-   small groups are joined, large ones searched block against block, and only
-   pairs that pass the sketch leave a task.
+   least, then its greatest, then with each other: small groups by a join that
+   sizes limit, large ones in place, block against block, and a forest of what
+   is linked leaves a task, never pairs.
 
 Of each pair a sketch of the sets, the parities of how many hashes fall on each
-of SKETCH_BITS places, bounds from below in how many shingles they differ; only
+of SKETCH_BITS or more places, bounds from below in how many shingles they differ; only
 pairs within the bound are compared as whole sets, and only texts of such pairs
 are shuffled, as sets of SET_BYTES a shingle. Connected components give classes.
 """
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, may_be_among
+from .common import col, cut, may_be_among, over_texts
 from .components import stars
-from .simhash import fingerprint_of, keep_first, linked, shingle_hashes
+from .simhash import Forest, fingerprint_of, keep_first, linked, shingle_hashes
 
 #: Shingles of the sample whose frequency the order knows, the most frequent ones.
 KNOWN_SHINGLES = 200_000
@@ -54,7 +54,8 @@ def _frequent(texts: DataFrame, shingle: int, sample_rows: int) -> tuple[np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(s.view("<i8")), pa.array(n, pa.int64())], names=["s", "n"])
 
     one_in = max(1, texts.count() // sample_rows)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct().mapInArrow(run, "s long, n long")
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct()
+    some = over_texts(some, run, "s long, n long")
     counted = some.groupBy("s").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(KNOWN_SHINGLES).toPandas()
     s, n = counted["s"].to_numpy("int64").view(np.uint64), counted["n"].to_numpy("int64")
     order = np.argsort(s)
@@ -62,10 +63,30 @@ def _frequent(texts: DataFrame, shingle: int, sample_rows: int) -> tuple[np.ndar
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
-    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    """Parities at SKETCH_BITS places, doubled until there are two for each hash."""
+    bits = SKETCH_BITS
+    while bits < 2 * len(hashes):
+        bits *= 2
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which sketches differ, pair by pair. The longer of two is folded: parities of places that fall together add up."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (la, lb)).all(1))
+        x, y = (np.frombuffer(b"".join([t[i] for i in at]), np.uint64).reshape(len(at), -1) for t in (a, b))
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            else:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
 def _packed(hashes: np.ndarray) -> bytes:
     """The low SET_BYTES of each hash, distinct and in order."""
     low = np.unique(hashes & np.uint64((1 << 8 * SET_BYTES) - 1))
@@ -99,57 +120,81 @@ def _may_be_alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> D
             if not batch.num_rows:
                 continue
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (4, 5))
-            keep = within_bound(n, m, np.bitwise_count(a ^ b).sum(1, dtype=np.int64), similarity)
+            keep = within_bound(n, m, _differ(batch.column(4).to_pylist(), batch.column(5).to_pylist()), similarity)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep))
 
-    return cut(_joined(pairs, sketches, "n", "sketch").mapInArrow(run, "u long, v long"))
+    # sizes rule out most, before sketches are sent
+    near = _joined(pairs, sketches, "n").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+    return cut(_joined(near.select("u", "v"), sketches, "n", "sketch").mapInArrow(run, "u long, v long"))
+
 
+def _in_blocks(coloured: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) within groups (s, set_id, r, m, c) that have to meet: block against block, as whole sets.
 
-def _in_blocks(members: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u, v) within groups s, of different roots r, that sketches don't rule out: block against block."""
-    sizes = members.groupBy("s").agg(F.count("*").alias("m"))
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    Of each group the larger one of its largest root r and its largest colour c
+    stays apart: its blocks meet only the others'. A task returns a forest of
+    what it has linked, never pairs.
+    """
+    largest = lambda of, n: F.struct(F.max_by(of, F.struct(n, of)).alias("k"), F.max(n).alias("n"))
+    by_root = coloured.groupBy("s", "r").agg(F.count("*").alias("n")).groupBy("s").agg(largest("r", "n").alias("root"))
+    by_colour = coloured.where("c <> s").groupBy("s", "c").agg(F.count("*").alias("n")).groupBy("s").agg(largest("c", "n").alias("colour"))
+    apart = by_root.join(by_colour, "s", "left").select(
+        "s", "root", "colour", (F.col("root.n") >= F.coalesce("colour.n", F.lit(0))).alias("by_root")
+    )
+    sides = coloured.join(apart, "s").select(
+        "s", "set_id", "r", "c",
+        F.when(F.col("by_root"), F.col("r") == F.col("root.k")).otherwise(F.col("c") == F.col("colour.k")).alias("aside"),
+        F.ceil(F.when(F.col("by_root"), F.col("root.n")).otherwise(F.col("colour.n")) / BLOCK).cast("int").alias("kept"),
+        F.ceil((F.col("m") - F.when(F.col("by_root"), F.col("root.n")).otherwise(F.col("colour.n"))) / BLOCK).cast("int").alias("others"),
+    )
+    place = F.xxhash64("set_id")
     dealt = (
-        members.join(sizes.where(F.col("m") > SMALL_GROUP), "s")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "r")
-        .join(sketches.select("set_id", "n", "sketch"), "set_id")
+        sides.where("others > 0")
+        .withColumn("own", F.when(F.col("aside"), F.pmod(place, F.col("kept"))).otherwise(F.col("kept") + F.pmod(place, F.col("others"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(F.col("aside"), F.col("kept")).otherwise(0), F.col("kept") + F.col("others") - 1)))
+        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "r", "c")
+        .join(sets.select("set_id", "set"), "set_id")
     )
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        n, r, own, ids = (g[c].to_numpy() for c in ("n", "r", "own", "set_id"))
-        bits = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        r, c, own, ids = (g[name].to_numpy() for name in ("r", "c", "own", "set_id"))
+        opened = [_opened(x) for x in g["set"]]
+        n, sketch, forest = np.array(list(map(len, opened))), np.array([_sketch(x << np.uint64(40)) for x in opened] + [b""], object)[:-1], Forest(len(g))
+        s, i, j = g["s"].iloc[0], int(g["i"].iloc[0]), int(g["j"].iloc[0])
         left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
         for a in left:
             b = right[right > a] if i == j else right
-            b = b[r[b] != r[a]]
+            b = b[(r[b] != r[a]) & ((c[b] != c[a]) | (c[a] == s))]
             b = b[np.minimum(n[b], n[a]) >= similarity * np.maximum(n[b], n[a]) - 1e-6]
-            if len(b):
-                near = within_bound(n[b], n[a], np.bitwise_count(bits[b] ^ bits[a]).sum(1, dtype=np.int64), similarity)
-                found += [(ids[a], ids[x]) for x in b[near]]
+            if not len(b):
+                continue
+            for x in b[within_bound(n[b], n[a], _differ([sketch[a]] * len(b), sketch[b].tolist()), similarity)]:
+                pair = np.array([a, x])
+                root_a, root_x = forest.roots(pair)
+                if root_a != root_x and similar(opened[a], opened[x]) >= similarity:
+                    forest.link(pair[:1], pair[1:])
+                    found.append((ids[a], ids[x]))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return cut(dealt.groupBy("s", "i", "j").applyInPandas(search, "u long, v long").distinct())
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets, each distinct and in order."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
 def _alike(pairs: DataFrame, sets, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets are so similar. sets: gives the whole sets of the ids in a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = _opened(a.as_py()), _opened(b.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            keep = [similar(_opened(a.as_py()), _opened(b.as_py())) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct())
-    return cut(_joined(pairs, sets(asked), "set").mapInArrow(run, "u long, v long"))
+    return cut(over_texts(_joined(pairs, sets(asked), "set"), run, "u long, v long"))
 
 
 def similar_classes(
@@ -200,10 +245,8 @@ def similar_classes(
                 names=["doc_id", "text_hash", "set_id", "fp", "n", "sketch", "part"],
             )
 
-    seen = cut(
-        docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.xxhash64(col(text_col)).alias("h"))
-        .mapInArrow(first_parts, "doc_id long, text_hash long, set_id long, fp long, n int, sketch binary, part array<long>")
-    )
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.xxhash64(col(text_col)).alias("h"))
+    seen = cut(over_texts(rows, first_parts, "doc_id long, text_hash long, set_id long, fp long, n int, sketch binary, part array<long>"))
     parts = seen.where(F.col("part").isNotNull()).select(F.explode("part").alias("s"), "set_id").repartition("s")
     groups = parts.groupBy("s").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).where("least < greatest")
     shared = cut(parts.join(groups, "s").distinct())
@@ -236,7 +279,7 @@ def similar_classes(
     def sets_of(asked: DataFrame) -> DataFrame:
         of_set = cut(sketches.join(asked, "set_id").select("set_id", F.col("text_hash").alias("h")))
         rows = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("string").alias("text"))
-        few = may_be_among(rows, of_set, "h", "maybe").where("maybe").select("h", "text").mapInArrow(whole, "h long, set binary")
+        few = over_texts(may_be_among(rows, of_set, "h", "maybe").where("maybe").select("h", "text"), whole, "h long, set binary")
         return cut(of_set.join(few, "h").groupBy("set_id").agg(F.first("set").alias("set")))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -256,12 +299,19 @@ def similar_classes(
     (of_set,) = root(links, "set_id")
     rooted = shared.join(of_set, "set_id", "left").select("s", "set_id", F.coalesce("set_id_root", "set_id").alias("r"))
     split = rooted.groupBy("s").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("m")).where("a < b").select("s", "m")
-    left = cut(rooted.join(split, "s"))
+    left = rooted.join(split, "s")
+    # A passage that many texts hold makes many groups of nearly the same members. A member's colour is its smallest
+    # group; two members of one colour meet there and needn't meet in other groups.
+    colour = left.groupBy("set_id").agg(F.min(F.struct("m", "s")).alias("c")).select("set_id", F.col("c.s").alias("c"))
+    left = cut(left.join(colour.join(sketches.select("set_id", "n"), "set_id"), "set_id"))
     small = left.where(F.col("m") <= SMALL_GROUP)
-    other = small.select("s", F.col("set_id").alias("v"), F.col("r").alias("q"))
-    joined = small.join(other, "s").where(F.col("r") < F.col("q")).select(F.col("set_id").alias("u"), "v").distinct()
-    rest = _may_be_alike(joined, sketches, similarity).unionByName(_in_blocks(left.drop("m"), sketches, similarity)).distinct()
-    links = links.unionByName(_alike(cut(rest), sets_of, similarity))
+    other = small.select(F.col("s").alias("t"), F.col("set_id").alias("v"), F.col("r").alias("q"), F.col("c").alias("d"), F.col("n").alias("o"))
+    meet = (F.col("r") < F.col("q")) & ((F.col("c") != F.col("d")) | (F.col("c") == F.col("s")))
+    sized = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-6
+    joined = small.join(other, (F.col("s") == F.col("t")) & meet & sized).select(F.col("set_id").alias("u"), "v").distinct()
+    links = links.unionByName(_alike(_may_be_alike(joined, sketches, similarity), sets_of, similarity))
+    large = left.where(F.col("m") > SMALL_GROUP).drop("n")
+    links = links.unionByName(_in_blocks(large, sets_of(cut(large.select("set_id").distinct())), similarity))
 
     star = stars(links).select(F.col("u").alias("set_id"), F.col("v").alias("r"))
     return seen.join(star, "set_id", "left").select("doc_id", "text_hash", F.coalesce("r", "set_id").alias("root"))

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_position, with_running_sum
 from .common import col, cut, n_words
 
 SEED = 42
@@ -33,32 +34,34 @@ def source_targets(
     cap * size / weight, and sources are capped up to the first one whose share
     of what is left stays below its cap.
 
-    The windows here run over one row per source, never over documents.
+    Ranks and sums before come from ordering.py's buckets, so a table of many
+    sources, hosts for instance, is no single task's either.
     """
     num, den = budget
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy(F.col("ratio"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    w = F.element_at(F.array(*map(F.lit, weights)), F.col("rank") % len(weights) + 1)
-    ranked = (
-        sizes.withColumn("rank", F.row_number().over(by_name) - 1)
+    sizes = cut(sizes)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    named = with_position(sizes.where(F.col("source").isNotNull()), "source", "rank")
+    last = sizes.where(F.col("source").isNull()).withColumn("rank", F.lit(named.count()).cast("long"))
+    ranked = cut(
+        named.unionByName(last)
         .withColumn("weight", w.cast("long"))
         .withColumn("ratio", (F.lit(cap) * F.col("source_size")).cast("double") / F.col("weight"))
     )
-    level = (
-        ranked.withColumn("all_size", F.sum("source_size").over(everything))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("capped_size", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("capped_weight", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    by_ratio = cut(ranked.groupBy("ratio").agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")))  # no ties
+    placed = with_running_sum(by_ratio, "ratio", F.col("size"), "capped_size")
+    placed = with_running_sum(placed, "ratio", F.col("weight"), "capped_weight")
+    whole = ranked.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    judged = (
+        placed.crossJoin(F.broadcast(whole))
         .withColumn(
             "level",
             (num * F.col("all_size") - den * cap * F.col("capped_size")).cast("double")
             / (den * (F.col("all_weight") - F.col("capped_weight"))).cast("double"),
         )
         .withColumn("below", F.col("level") < F.col("ratio"))
-        .withColumn("at", F.min(F.when(F.col("below"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
     )
+    first = judged.where("below").agg(F.min(F.struct("ratio", "level"))["level"].alias("at"))  # one row
+    level = ranked.crossJoin(F.broadcast(first))
     full = (F.lit(cap) * F.col("source_size")).cast("double")
     target = F.when(F.col("at").isNull() | (F.col("ratio") <= F.col("at")), full).otherwise(
         F.col("weight") * F.col("at")
@@ -111,7 +114,10 @@ def mixing_plan(
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as mixing_plan() says, columns unchanged."""
+    """The mix itself: every document as often as mixing_plan() says, columns unchanged.
+
+    Nulls, ties, repeats and empty tables: as mixing_plan(). A source without words gives nothing.
+    """
     plan = mixing_plan(docs, keep=docs.columns, **how)
     return plan.where(F.col("copies") > 0).withColumn(
         "again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import col
+from .common import col, over_texts
 
 SCHEMA = "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema(
@@ -70,14 +70,14 @@ def pack_powers(
                         into.append(value)
                     start += length
                 held += len(ids)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield _batch(out, base + made)
                     made += len(out[0])
                     out, held = [[] for _ in range(6)], 0
             yield _batch(out, base + made)
             made += len(out[0])
 
-    return docs.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(pack, SCHEMA)
+    return over_texts(docs.select(col(id_col).cast("long"), col(text_col).cast("string")), pack, SCHEMA)
 
 
 def _batch(out: list[list], first: int) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, may_be_among
+from .common import col, cut, may_be_among, over_texts
 from .components import stars
 
 HASH_SEED = 42
@@ -75,9 +75,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "text_hash"]
             )
 
-    return docs.select(
-        col(id_col).cast("long"), col(text_col).cast("string"), F.xxhash64(col(text_col))
-    ).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    rows = docs.select(col(id_col).cast("long"), col(text_col).cast("string"), F.xxhash64(col(text_col)))
+    return over_texts(rows, run, "doc_id long, fp long, text_hash long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -248,7 +247,10 @@ def near_classes(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each class: that of its smallest id (ids before nulls), columns unchanged."""
+    """docs with one row of each class: that of its smallest id (ids before nulls), columns unchanged.
+
+    Null, empty and blank texts are one class; repeated rows leave one, whichever; no rows in: no rows out.
+    """
     return keep_first(docs, near_classes(docs, id_col, text_col, **how), id_col, text_col)
 
 

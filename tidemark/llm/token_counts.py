@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import col
+from .common import col, over_texts
 
 SCHEMA = (
     "doc_id long, n_tokens long, n_sections long, n_crossing long, "
@@ -91,6 +91,5 @@ def count_tokens(
                 names=["doc_id", "n_tokens", "n_sections", "n_crossing", "field_tokens", "section_tokens"],
             )
 
-    return docs.select(
-        col(id_col).cast("long").alias("id"), *[col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]
-    ).mapInArrow(run, SCHEMA)
+    rows = docs.select(col(id_col).cast("long").alias("id"), *[col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    return over_texts(rows, run, SCHEMA)

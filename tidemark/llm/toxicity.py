@@ -15,7 +15,7 @@ and looks up one number per word: one Arrow pass over the texts, no shuffle.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, cut, give_back, over_texts
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_…«»“”‘’¿¡"
-#: Words whose number each Python worker keeps.
-CACHE_WORDS = 400_000
+#: Characters of the words whose number each Python worker keeps, and of the longest of them.
+CACHE_CHARS, CACHED_WORD = 2_000_000, 64
 FOLDS = 5
 
 
@@ -65,16 +65,22 @@ class ToxicModel:
         pull, bias, window, buckets = self.pull.tolist(), self.bias, self.window, len(self.pull)
 
         class Words(dict):
+            chars = 0
+
             def __missing__(self, word):
                 ids = grams(word, buckets)
-                self[word] = value = sum([pull[i] for i in ids]) / len(ids) if ids else 0.0
+                value = sum([pull[i] for i in ids]) / len(ids) if ids else 0.0
+                if len(word) <= CACHED_WORD:
+                    self[word] = value
+                    self.chars += len(word)
                 return value
 
         words = Words()
 
         def score(text: str | None) -> float:
-            if len(words) > CACHE_WORDS:
+            if words.chars > CACHE_CHARS:
                 words.clear()
+                words.chars = 0
             parts = (text or "").lower().split()
             n = max(1, -(-len(parts) // window))
             values = np.zeros(n * window, np.float32)
@@ -87,8 +93,8 @@ class ToxicModel:
 
 
 def fit(
-    texts: list[str],
-    toxic: np.ndarray,
+    texts: Iterable[str | None],
+    toxic: Sequence[bool],
     buckets: int = 1 << 17,
     dim: int = 8,
     window: int = 16,
@@ -97,16 +103,14 @@ def fit(
     batch: int = 128,
     seed: int = 42,
 ) -> ToxicModel:
-    """Train on whole texts, which it takes out of the list as it goes. The first epoch learns from each text's every window, later ones from its top window."""
-    rng = np.random.default_rng(seed)
-    if not len(texts) or toxic.all() or not toxic.any():
-        share = (toxic.sum() + 1) / (len(texts) + 2)
-        return ToxicModel(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), window)
+    """Train on whole texts, taken one at a time; toxic need hold a text's class only once it is taken.
 
+    The first epoch learns from each text's every window, later ones from its top window.
+    """
+    rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     rows, of_text = [], []
-    for i in range(len(texts)):
-        text, texts[i] = texts[i], None
+    for i, text in enumerate(texts):
         parts = np.array([vocabulary.setdefault(w, len(vocabulary)) + 1 for w in (text or "").lower().split()], np.int32)
         parts[1:][parts[1:] == parts[:-1]] = 0
         n = max(1, -(-len(parts) // window))
@@ -114,6 +118,11 @@ def fit(
         padded[: len(parts)] = parts
         rows.append(padded.reshape(n, window))
         of_text.append(np.full(n, i, np.int32))
+    toxic = np.array(toxic, bool)
+    if not len(toxic) or toxic.all() or not toxic.any():
+        share = (toxic.sum() + 1) / (len(toxic) + 2)
+        return ToxicModel(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), window)
+
     windows, of_text = np.concatenate(rows), np.concatenate(of_text)
     del rows
     flat, size = array("i"), array("i", [0])
@@ -187,9 +196,13 @@ def learn(
     text_col: str = "text",
     label_col: str = "toxic",
     fit_rows: tuple[int, int] = (5000, 3500),
+    fit_bytes: int = 64 << 20,
     **how,
 ) -> ToxicModel:
-    """Fit on labelled texts outside fold 0, at most fit_rows[y] ids of class y by hash of the id.
+    """Fit on labelled texts outside fold 0, at most fit_rows[y] ids of class y by hash of the id, and fit_bytes in all.
+
+    Whole texts come one at a time and are kept as numbers of words; past
+    fit_bytes ids of each class are left out from the last by hash on.
 
     Null ids, labels other than 0 and 1 and labels without a text are passed
     over; where an id has several texts or labels the least one counts.
@@ -204,18 +217,27 @@ def learn(
     picked = [ids.where(F.col("y") == y).orderBy(*by_hash).limit(fit_rows[y]) for y in (0, 1)]
     # At most sum(fit_rows) ids, so this may be broadcast at any size of corpus.
     few = docs.sparkSession.createDataFrame(
-        [tuple(r) for p in picked for r in p.collect()], "id long, y int"
+        [(*r, n) for p in picked for n, r in enumerate(p.collect())], "id long, y int, place int"
     )
-    found = (
+    found = cut(
         docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
         .join(F.broadcast(few), "id")
-        .groupBy("id", "y")
+        .groupBy("id", "y", "place")
         .agg(F.min("text").alias("text"))
-        .toPandas()
-        .sort_values("id")
     )
-    toxic = found["y"].to_numpy() == 1
-    return fit(found.pop("text").tolist(), toxic, **how)
+    sizes = found.select("place", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas().sort_values(["place", "y"])
+    within = sizes["size"].cumsum() <= fit_bytes
+    last = int(sizes["place"][~within].min()) if not within.all() else max(fit_rows)
+    toxic: list[bool] = []
+
+    def texts() -> Iterator[str | None]:
+        for row in found.where(F.col("place") < last).orderBy("id").select("y", "text").toLocalIterator():
+            toxic.append(row["y"] == 1)
+            yield row["text"]
+
+    model = fit(texts(), toxic, **how)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -234,7 +256,7 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list
                 names=["row", "score", "predicted"],
             )
 
-    return rows.mapInArrow(run, shape)
+    return over_texts(rows, run, shape)
 
 
 def toxicity(
@@ -258,6 +280,10 @@ def toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows predicted toxic, columns unchanged."""
+    """docs without the rows predicted toxic, columns unchanged.
+
+    Null and empty texts go only if a text without words scores 0.5 or more;
+    repeated rows go or stay together; no rows in: no rows out.
+    """
     model = learn(docs, labels, text_col=text_col, **how)
     return score(docs, model, text_col).where(F.col("predicted") == 0).select("row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, over_texts
 
 # Element names by their place in HTML, and words by which pages name their parts.
 RAW = "script style noscript template iframe svg textarea select title object audio video canvas"
@@ -431,7 +431,7 @@ def observed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             )
 
     rows = pages.where(col(html_col).isNotNull()).select(host(col(url_col)).alias("host"), col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, layout long, skeleton string, line int, text long, page long")
+    return over_texts(rows, run, "host string, layout long, skeleton string, line int, text long, page long")
 
 
 def _folded(group: pd.DataFrame) -> pd.DataFrame:
@@ -588,7 +588,5 @@ def extract(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
 
-    read_rows = rows.select("page_id", "url", "host", "html", "wrapper").mapInArrow(
-        read, "page_id long, url string, text string"
-    )
+    read_rows = over_texts(rows.select("page_id", "url", "host", "html", "wrapper"), read, "page_id long, url string, text string")
     return read_rows.withColumn("n_chars", F.length("text").cast("long"))
