@@ -4,6 +4,12 @@ Each stage takes all rows that the one before it kept. All but the last return
 the columns of documents; run() writes each stage's rows to the shared folder
 and reads them again, so a lost executor costs at most one stage.
 
+Every stage takes nulls in any column, empty texts, repeated rows, other columns
+and empty tables: null and empty texts are never toxic (where both labels
+occur), count as copies of each other, hold nothing private, are mixed with size
+0 and packed as the end token alone. Repeated rows leave one in near-dedup. A
+null source is a source. No rows in: no rows out.
+
 As part of tidemark.llm it is removable together with that subpackage.
 """
 
@@ -24,7 +30,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of documents linked by a similarity of 0.8 or more over five-word shingles that of the smallest id stays."""
+    """SimHash near-dedup, and what it misses: of documents linked by a similarity of 0.8 or more over five-word shingles that of the smallest id stays."""
     return jaccard.keep_one(docs, shingle=5, similarity=0.8)
 
 
@@ -54,7 +60,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL can't express the trained classifier or the tokenizer; tests hold each stage against plain Python.
+#: SQL can't express the trained classifier or the tokenizer; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
