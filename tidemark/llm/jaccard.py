@@ -9,9 +9,9 @@ A text is the set of its shingles' hashes; equal sets are one. Links come from
    order of all shingles their first n - ceil(t n) + 1 share one. The order puts
    shingles rare in a bounded sample first; it has no influence on the result.
    Sets that share one and aren't linked yet are compared with their group's
-   least, then its greatest, then with each other: small groups by a join that
-   sizes limit, large ones in place, block against block, and a forest of what
-   is linked leaves a task, never pairs.
+   least, then its greatest, then with each other: small groups in sorted runs,
+   of which what passes the sketch leaves a task, large ones block against
+   block, of which a forest of what is linked leaves, never pairs.
 
 Of each pair a sketch of the sets, the parities of how many hashes fall on each
 of SKETCH_BITS or more places, bounds from below in how many shingles they differ; only
@@ -39,8 +39,8 @@ KNOWN_SHINGLES = 200_000
 SKETCH_BITS = 1024
 #: Bytes of each hash that whole sets are compared by: two shingles of a pair of long texts fall together once in a million pairs.
 SET_BYTES = 5
-#: Members of a group that are joined with each other, and of a block of a larger one.
-SMALL_GROUP, BLOCK = 48, 1024
+#: Members of a group that are compared in sorted runs, and of a block of a larger one.
+SMALL_GROUP, BLOCK = 48, 4096
 
 
 def _frequent(texts: DataFrame, shingle: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +128,47 @@ def _may_be_alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> D
     return cut(_joined(near.select("u", "v"), sketches, "n", "sketch").mapInArrow(run, "u long, v long"))
 
 
+def _in_runs(small: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) within groups (s, set_id, r, m, c) of at most SMALL_GROUP that have to meet and that sketches don't rule out.
+
+    Groups lie sorted in their task, and every row meets the rows up to
+    SMALL_GROUP - 1 places on, as far as its group goes; only what passes leaves.
+    """
+    rows = small.join(sketches.select("set_id", "n", "sketch"), "set_id").repartition("s").sortWithinPartitions("s")
+
+    def met(t: pa.Table) -> pa.RecordBatch:
+        s, ids, r, c, n = (t.column(i).to_numpy() for i in range(5))
+        sketch, out = np.array(t.column(5).to_pylist() + [b""], object)[:-1], []
+        for step in range(1, SMALL_GROUP):
+            a = np.flatnonzero(s[step:] == s[:-step]) if step < len(s) else np.zeros(0, np.int64)
+            if not len(a):
+                break
+            b = a + step
+            ok = (r[a] != r[b]) & ((c[a] != c[b]) | (c[a] == s[a])) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+            a, b = a[ok], b[ok]
+            if len(a):
+                keep = within_bound(n[a], n[b], _differ(sketch[a].tolist(), sketch[b].tolist()), similarity)
+                out.append((ids[a[keep]], ids[b[keep]]))
+        u, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows whose group may go on in the next batch
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None and held.num_rows else t
+            if not t.num_rows:
+                continue
+            s = t.column(0).to_numpy()
+            whole = int(np.searchsorted(s, s[-1], "left"))
+            yield met(t.slice(0, whole).combine_chunks())
+            held = t.slice(whole)
+        if held is not None:
+            yield met(held.combine_chunks())
+
+    return over_texts(rows.select("s", "set_id", "r", "c", "n", "sketch"), run, "u long, v long")
+
+
 def _in_blocks(coloured: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) within groups (s, set_id, r, m, c) that have to meet: block against block, as whole sets.
 
@@ -193,7 +234,7 @@ def _alike(pairs: DataFrame, sets, similarity: float) -> DataFrame:
             keep = [similar(_opened(a.as_py()), _opened(b.as_py())) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct())
+    asked = cut(pairs.select(F.col("u").alias("set_id")).unionByName(pairs.select(F.col("v").alias("set_id"))).distinct())
     return cut(over_texts(_joined(pairs, sets(asked), "set"), run, "u long, v long"))
 
 
@@ -300,17 +341,15 @@ def similar_classes(
     rooted = shared.join(of_set, "set_id", "left").select("s", "set_id", F.coalesce("set_id_root", "set_id").alias("r"))
     split = rooted.groupBy("s").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("m")).where("a < b").select("s", "m")
     left = rooted.join(split, "s")
-    # A passage that many texts hold makes many groups of nearly the same members. A member's colour is its smallest
-    # group; two members of one colour meet there and needn't meet in other groups.
+    # A passage that several texts hold makes many groups of nearly the same members. A member's colour is its smallest
+    # group; two members of one colour meet there and needn't meet in other groups, so a group of one other colour is done.
     colour = left.groupBy("set_id").agg(F.min(F.struct("m", "s")).alias("c")).select("set_id", F.col("c.s").alias("c"))
-    left = cut(left.join(colour.join(sketches.select("set_id", "n"), "set_id"), "set_id"))
-    small = left.where(F.col("m") <= SMALL_GROUP)
-    other = small.select(F.col("s").alias("t"), F.col("set_id").alias("v"), F.col("r").alias("q"), F.col("c").alias("d"), F.col("n").alias("o"))
-    meet = (F.col("r") < F.col("q")) & ((F.col("c") != F.col("d")) | (F.col("c") == F.col("s")))
-    sized = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-6
-    joined = small.join(other, (F.col("s") == F.col("t")) & meet & sized).select(F.col("set_id").alias("u"), "v").distinct()
-    links = links.unionByName(_alike(_may_be_alike(joined, sketches, similarity), sets_of, similarity))
-    large = left.where(F.col("m") > SMALL_GROUP).drop("n")
+    left = cut(left.join(colour, "set_id"))
+    mixed = left.groupBy("s").agg(F.min("c").alias("p"), F.max("c").alias("q")).where((F.col("p") != F.col("q")) | (F.col("p") == F.col("s")))
+    left = cut(left.join(mixed.select("s"), "s"))
+    near = cut(_in_runs(left.where(F.col("m") <= SMALL_GROUP), sketches, similarity).distinct())
+    links = links.unionByName(_alike(near, sets_of, similarity))
+    large = left.where(F.col("m") > SMALL_GROUP)
     links = links.unionByName(_in_blocks(large, sets_of(cut(large.select("set_id").distinct())), similarity))
 
     star = stars(links).select(F.col("u").alias("set_id"), F.col("v").alias("r"))
