@@ -71,7 +71,7 @@ def over_texts(rows: DataFrame, run: Callable, schema: str | StructType) -> Data
     """rows.mapInArrow(run, schema) with batches of bounded size, and memory given back when a task ends."""
     conf = rows.sparkSession.conf
     for name, sparks, ours in BATCHES:
-        if conf.get(name) == sparks:
+        if conf.get(name, None) in (None, sparks):
             conf.set(name, ours)
 
     def lean(batches: Iterator) -> Iterator:
