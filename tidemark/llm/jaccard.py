@@ -169,8 +169,10 @@ def _in_runs(small: DataFrame, sketches: DataFrame, similarity: float) -> DataFr
     return over_texts(rows.select("s", "set_id", "r", "c", "n", "sketch"), run, "u long, v long")
 
 
-def _in_blocks(coloured: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) within groups (s, set_id, r, m, c) that have to meet: block against block, as whole sets.
+def _in_blocks(coloured: DataFrame, sketches: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (u, v) within groups (s, set_id, r, m, c) that have to meet: block against block.
+
+    First as sketches, which tell whose sets are needed, then these as sets.
 
     Of each group the larger one of its largest root r and its largest colour c
     stays apart: its blocks meet only the others'. A task returns a forest of
@@ -194,22 +196,34 @@ def _in_blocks(coloured: DataFrame, sets: DataFrame, similarity: float) -> DataF
         .withColumn("own", F.when(F.col("aside"), F.pmod(place, F.col("kept"))).otherwise(F.col("kept") + F.pmod(place, F.col("others"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.when(F.col("aside"), F.col("kept")).otherwise(0), F.col("kept") + F.col("others") - 1)))
         .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "r", "c")
-        .join(sets.select("set_id", "set"), "set_id")
     )
+    dealt = cut(dealt)
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        r, c, own, ids = (g[name].to_numpy() for name in ("r", "c", "own", "set_id"))
-        opened = [_opened(x) for x in g["set"]]
-        n, sketch, forest = np.array(list(map(len, opened))), np.array([_sketch(x << np.uint64(40)) for x in opened] + [b""], object)[:-1], Forest(len(g))
+    def candidates(g: pd.DataFrame, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows, and the rows each has to meet that its sketch doesn't rule out."""
+        r, c, own = (g[name].to_numpy() for name in ("r", "c", "own"))
+        sketch = np.array([*sketches, b""], object)[:-1]
         s, i, j = g["s"].iloc[0], int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         for a in left:
             b = right[right > a] if i == j else right
             b = b[(r[b] != r[a]) & ((c[b] != c[a]) | (c[a] == s))]
             b = b[np.minimum(n[b], n[a]) >= similarity * np.maximum(n[b], n[a]) - 1e-6]
-            if not len(b):
-                continue
-            for x in b[within_bound(n[b], n[a], _differ([sketch[a]] * len(b), sketch[b].tolist()), similarity)]:
+            if len(b):
+                yield a, b[within_bound(n[b], n[a], _differ([sketch[a]] * len(b), sketch[b].tolist()), similarity)]
+
+    def needed(g: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(g), bool)
+        for a, b in candidates(g, g["n"].to_numpy(), g["sketch"].tolist()):
+            hit[b] = True
+            hit[a] |= len(b) > 0
+        return pd.DataFrame({"set_id": g["set_id"].to_numpy()[hit]})
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        ids, opened, found = g["set_id"].to_numpy(), [_opened(x) for x in g["set"]], []
+        forest = Forest(len(g))
+        for a, b in candidates(g, np.array(list(map(len, opened))), [_sketch(x << np.uint64(40)) for x in opened]):
+            for x in b:
                 pair = np.array([a, x])
                 root_a, root_x = forest.roots(pair)
                 if root_a != root_x and similar(opened[a], opened[x]) >= similarity:
@@ -217,7 +231,10 @@ def _in_blocks(coloured: DataFrame, sets: DataFrame, similarity: float) -> DataF
                     found.append((ids[a], ids[x]))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    return cut(dealt.groupBy("s", "i", "j").applyInPandas(search, "u long, v long").distinct())
+    sketched = dealt.join(sketches.select("set_id", "n", "sketch"), "set_id")
+    few = cut(sketched.groupBy("s", "i", "j").applyInPandas(needed, "set_id long").distinct())
+    whole = dealt.join(sets_of(few).select("set_id", "set"), "set_id")
+    return cut(whole.groupBy("s", "i", "j").applyInPandas(search, "u long, v long").distinct())
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -350,7 +367,7 @@ def similar_classes(
     near = cut(_in_runs(left.where(F.col("m") <= SMALL_GROUP), sketches, similarity).distinct())
     links = links.unionByName(_alike(near, sets_of, similarity))
     large = left.where(F.col("m") > SMALL_GROUP)
-    links = links.unionByName(_in_blocks(large, sets_of(cut(large.select("set_id").distinct())), similarity))
+    links = links.unionByName(_in_blocks(large, sketches, sets_of, similarity))
 
     star = stars(links).select(F.col("u").alias("set_id"), F.col("v").alias("r"))
     return seen.join(star, "set_id", "left").select("doc_id", "text_hash", F.coalesce("r", "set_id").alias("root"))
