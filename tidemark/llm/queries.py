@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, mixing, packing, quality, simhash, suffixes, surrogates, token_counts, toxicity, wrappers
-from .common import table
+from . import curves, lyndon, mixing, packing, phrases, quality, sharding, simhash, suffixes, surrogates, token_counts, toxicity, wrappers
+from .common import WORD, table
 
 
 def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,37 @@ def op10_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; where crc32(doc_id) ends in 0, of its words made periodic from word a on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    counted = docs.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = counted.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    root = placed.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    periodic = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')")
+    made = root.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+    found = lyndon.word_runs(made)
+    first = F.expr(  # of greatest exponent: the earliest in the order of runs
+        "aggregate(runs, runs[0], (best, run) -> if(run.length * best.period > best.length * run.period, run, best))"
+    )
+    listed = F.expr("array_join(transform(runs, run -> concat(run.start, ',', run.length, ',', run.period, '\n')), '')")
+    chosen = found.withColumn("best", F.when(F.size("runs") > 0, first))
+    return chosen.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that op3 judges by, and its base rules, which SQL can say."""
     stats = quality.rule_statistics(table(spark, sf_dir, "documents"))
@@ -73,6 +104,9 @@ QUERIES = {
     "op8_token_attribution": op8_token_attribution,
     "op9_suffix_runs": op9_suffix_runs,
     "op10_pack_powers": op10_pack_powers,
+    "op11_lyndon_runs": op11_lyndon_runs,
+    "op12_minimax_shards": op12_minimax_shards,
+    "op13_pivot_phrases": op13_pivot_phrases,
     "rule_statistics": rule_statistics,
 }
 
@@ -157,4 +191,39 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op9_suffix_runs": OP9_SQL, "rule_statistics": RULE_STATISTICS_SQL}
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m AS words, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM worded, unnest([1, 2, 3, 4, 5]) AS t(m), unnest(range(1, len(w) - m + 2)) AS u(i)
+), counts AS (
+  SELECT lang, words, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang
+), known AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE a >= 100
+), within AS (
+  SELECT lang, array_to_string(w[1:words - 1], ' ') AS phrase, a FROM known WHERE words > 2
+  UNION ALL SELECT lang, array_to_string(w[2:words], ' '), a FROM known WHERE words > 2
+), maximal AS (
+  SELECT * FROM known
+  WHERE words > 1 AND NOT EXISTS (SELECT 1 FROM within WHERE within.lang = known.lang AND within.phrase = known.phrase AND within.a >= known.a)
+), cuts AS (
+  SELECT m.lang, m.phrase, m.a, k, p.a AS l, q.a AS r, n, ((1000::HUGEINT * m.a * n) // (p.a::HUGEINT * q.a))::BIGINT AS score
+  FROM maximal m, unnest(range(1, m.words)) AS t(k)
+  JOIN totals ON totals.lang = m.lang
+  JOIN known p ON p.lang = m.lang AND p.phrase = array_to_string(m.w[1:k], ' ')
+  JOIN known q ON q.lang = m.lang AND q.phrase = array_to_string(m.w[k + 1:m.words], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op9_suffix_runs": OP9_SQL, "op13_pivot_phrases": OP13_SQL, "rule_statistics": RULE_STATISTICS_SQL}
