@@ -71,8 +71,10 @@ def knn_l2_batch(
     Both sides are packed into blocks of bounded bytes where they are, and each
     block of queries meets each block of the index in some task, which returns
     its k best per query: what is shuffled after that is k rows per query and
-    block, never distances of pairs. Nothing passes through the driver. With
-    fewer than k rows all are returned; vectors of another dimension don't meet.
+    block, never distances of pairs. Blocks meet without a key, as pairs of
+    partitions: a key such as the dimension, which all vectors share, would send
+    every block to one task. Nothing passes through the driver. With fewer than
+    k rows all are returned; blocks of different dimensions give nothing.
     """
     rows = index.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_vector).isNotNull()).select(
@@ -82,7 +84,9 @@ def knn_l2_batch(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                dim = batch.column(4)[row].as_py()
+                dim, q_dim = batch.column(4)[row].as_py(), batch.column(5)[row].as_py()
+                if dim != q_dim:
+                    continue
                 own, x, ids, q = (
                     np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in enumerate((np.int64, float, np.int64, float))
                 )
@@ -101,8 +105,8 @@ def knn_l2_batch(
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "id", "distance"])
 
     of_query = _blocks(asked).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"))
-    met = _blocks(rows).crossJoin(of_query).where("dim = q_dim")  # of blocks, not of rows
-    found = met.select("ids", "vectors", "q_ids", "q_vectors", "dim").mapInArrow(search, "q long, id long, distance double")
+    met = _blocks(rows).crossJoin(of_query)  # of blocks, not of rows
+    found = met.select("ids", "vectors", "q_ids", "q_vectors", "dim", "q_dim").mapInArrow(search, "q long, id long, distance double")
     by_query = Window.partitionBy("q").orderBy("distance", "id")
     return (
         found.withColumn("ord", F.row_number().over(by_query))
