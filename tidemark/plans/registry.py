@@ -13,7 +13,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
-from ..sources import loaders
+from ..sources import loaders, pdf
 from ..sources.index import upsert_batches, upserted
 from .. import prompts
 from . import sql
@@ -298,3 +298,39 @@ def load_single_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").first()[0]
     chunks = loaders.load_and_process_single_document(spark, path, written.rpartition("/")[2])
     return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "content")
+
+
+#: Codes stand for their own UTF-16 units in the fonts of the PDF files that load_pdf_pages makes.
+PDF_LINES, PDF_MAP = 40, "1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+
+
+@query
+def load_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as PDF files of 40 lines a page, natively, and loaded as pages."""
+
+    def placed(number, body):
+        return F.concat(number.cast("string"), F.lit(" 0 obj\n"), body, F.lit("\nendobj\n"))
+
+    def stream(body):
+        return F.concat(F.lit("<< /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream"))
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PDF_LINES).cast("int")), lambda i: F.slice("lines", i * PDF_LINES + 1, PDF_LINES))
+    shown = F.transform(cut, lambda page: F.array_join(F.transform(page, lambda line: F.concat(F.lit("<"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj T*"))), "\n"))
+    docs = docs.select("doc_id", F.transform(shown, lambda page: F.concat(F.lit("BT /F1 10 Tf 12 TL 40 800 Td\n"), page, F.lit("\nET"))).alias("pages"))
+    of_page = F.transform(
+        "pages",
+        lambda page, i: F.concat(
+            placed(2 * i + 10, F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Contents "), (2 * i + 11).cast("string"), F.lit(" 0 R >>"))), placed(2 * i + 11, stream(page))
+        ),
+    )
+    kids = F.array_join(F.transform("pages", lambda _, i: F.concat((2 * i + 10).cast("string"), F.lit(" 0 R"))), " ")
+    raw = F.concat(
+        F.lit("%PDF-1.7\n"), placed(F.lit(1), F.lit("<< /Type /Catalog /Pages 2 0 R >>")),
+        placed(F.lit(2), F.concat(F.lit("<< /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids ["), kids, F.lit("] >>"))),
+        placed(F.lit(3), F.lit("<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>")), placed(F.lit(4), stream(F.lit(PDF_MAP))),
+        F.array_join(of_page, ""), F.lit("trailer << /Root 1 0 R >>\n%%EOF"),
+    )
+    files = docs.select(F.col("doc_id").cast("string").alias("filename"), F.encode(raw, "UTF-8").alias("content"))
+    pages = pdf.pdf_texts(files).where("error is null")
+    return pages.select(F.col("filename").cast("long").alias("doc_id"), F.col("part").cast("long").alias("page"), F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))

@@ -312,3 +312,14 @@ LOAD_FOLDER_CSV = "SELECT concat_ws(' | ', s_suppkey::VARCHAR, s_name, s_nationk
 LOAD_SINGLE_CSV = r"""
 SELECT 0::BIGINT AS chunk_id, string_agg(concat_ws(' | ', r_regionkey::VARCHAR, r_name), chr(10) ORDER BY r_regionkey) AS content FROM region
 """
+
+LOAD_PDF_PAGES = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), pages AS (
+  SELECT doc_id, i::BIGINT AS page, lines[40 * i + 1:40 * i + 40] AS shown FROM docs, unnest(range((len(lines) - 1) // 40 + 1)) AS t(i)
+), texts AS (
+  SELECT doc_id, page, trim(array_to_string(list_transform(list_filter(shown, lambda x: trim(x, ' ') <> ''), lambda x: rtrim(x, ' ')), chr(10)), ' ') AS content FROM pages
+)
+SELECT doc_id, page, md5(content) AS content_md5, length(content)::BIGINT AS n_chars FROM texts
+"""

@@ -3,8 +3,8 @@
 Files are listed and read by Spark's binaryFile source, so any store Spark
 reads will do, and parsed a file at a time on the executors. What can't be
 parsed goes to an error column instead of ending the load. Word, PowerPoint and
-xlsx files are read from their XML with the standard library; PDF and old xls
-files need optional packages.
+xlsx files are read from their XML with the standard library, PDF files by
+pdf.py, a page at a time; old xls files need an optional package.
 """
 
 from __future__ import annotations
@@ -22,26 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import linearize
 from ..operators.chunking import explode_chunks, split_text
+from .pdf import pdf_texts
 
 SCHEMA = "filename string, part int, content string, error string"
 SUPPORTED = ("pdf", "txt", "csv", "xls", "xlsx", "docx", "pptx")
 
 
-def _pdf_pages(raw: bytes) -> list[str]:
-    try:
-        import pypdf
-
-        return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
-    except ImportError:
-        pass
-    try:
-        import fitz
-
-        return [p.get_text() for p in fitz.open(stream=raw, filetype="pdf")]
-    except ImportError:
-        raise ImportError("reading PDF needs pypdf or pymupdf") from None
-
-
 def _csv_rows(raw: bytes) -> list[str]:
     """Values as pandas types them, joined; nulls are left out."""
     frame = pd.read_csv(io.BytesIO(raw))
@@ -121,10 +107,8 @@ def _old_sheets(raw: bytes) -> list[tuple[str, str]]:
 
 
 def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
-    """(name, text) of each record of a file: a page, a CSV row, a sheet, or the whole."""
+    """(name, text) of each record of a file: a CSV row, a sheet, or the whole. PDF files are pdf.py's."""
     kind = name.lower().rpartition(".")[2]
-    if kind == "pdf":
-        return [(name, p.strip()) for p in _pdf_pages(raw)]
     if kind == "csv":
         return [(name, r) for r in _csv_rows(raw)]
     if kind in ("xls", "xlsx"):
@@ -154,7 +138,8 @@ def parsed_files(spark: SparkSession, folder_path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["filename", "part", "content", "error"])
 
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-    return named.mapInPandas(parse, SCHEMA)
+    is_pdf = F.lower("filename").endswith(".pdf")
+    return named.where(~is_pdf).mapInPandas(parse, SCHEMA).unionByName(pdf_texts(named.where(is_pdf)))
 
 
 def load_documents_to_dataframe(spark: SparkSession, folder_path: str) -> DataFrame:
@@ -198,16 +183,20 @@ def load_and_process_single_document(
             texts, errors = [], []
             for raw in batch["content"]:
                 try:
-                    texts.append(
-                        raw.decode("utf-8") if kind == "txt" else "\n".join(_csv_rows(raw)) if kind == "csv" else "".join(_pdf_pages(raw))
-                    )
+                    texts.append(raw.decode("utf-8") if kind == "txt" else "\n".join(_csv_rows(raw)))
                     errors.append(None)
                 except Exception as e:
                     texts.append(None)
                     errors.append(str(e))
             yield pd.DataFrame({"filename": filename, "content": texts, "error": errors})
 
-    read = files.select("content").mapInPandas(whole, "filename string, content string, error string").persist()
+    if kind == "pdf":  # the pages' texts, joined as they follow each other
+        pages = pdf_texts(files.select(F.lit(filename).alias("filename"), "content")).groupBy("filename")
+        whole_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"]), "")
+        read = pages.agg(whole_text.alias("content"), F.max("error").alias("error"))
+    else:
+        read = files.select("content").mapInPandas(whole, "filename string, content string, error string")
+    read = read.persist()
     if bad := read.where(F.col("error").isNotNull()).first():
         read.unpersist()
         raise ValueError(f"Error reading {filename}: {bad['error']}")
