@@ -4,19 +4,24 @@ The tokenizer's split pattern always begins a new piece before a space that a
 character other than white space follows. So the ids of a text are the ids of
 its space-led pieces joined, and a bounded cache of pieces does nearly all of
 the work. Texts for which that reasoning fails (two spaces in a row are merged
-into longer pieces; a special token's own string) are handled exactly as well.
+into longer pieces; a special token's own string; runs of white space so long
+that tiktoken's matcher would exhaust its stack) are handled exactly as well.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 #: Characters of the pieces kept per Python worker, beyond which the cache starts afresh, and of the longest of them.
 CACHE_CHARS, CACHED_PIECE = 2_000_000, 64
 
+#: A run of white space from which on a text goes to tokenizers whole; tiktoken panics somewhere beyond 300,000.
+LONG_SPACE = re.compile(r"\s{50000}")
+
 _LOADED: dict[str, "PieceCachedBpe"] = {}
 
 
@@ -39,7 +44,7 @@ class PieceCachedBpe:
     Pieces are encoded by tiktoken from the JSON file's own vocabulary, several
     times as fast as by tokenizers; both give the same ids, which loading checks
     on a few strings and the tests on many. Texts that contain the string of a
-    special token go to tokenizers whole.
+    special token, or a very long run of white space, go to tokenizers whole.
     """
 
     def __init__(self, path: str):
@@ -105,7 +110,7 @@ class PieceCachedBpe:
         """Packed ids of the whole text, nothing added; null is empty."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= 50_000 and LONG_SPACE.search(text):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         if self.cache.chars > CACHE_CHARS:
             self._new_cache()

@@ -37,9 +37,11 @@ TITLES = "|".join([*MALE, *FEMALE, *NEUTRAL])
 SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api_key|apikey|api-key|access_key|auth_key|private_key"
 
 # Every branch first asks for a character that is cheap to rule out; most of a text goes by at that.
+# Java matches a repeated group by recursion, so every such group has a bound (a domain has 127 labels at
+# most), and only single character classes repeat without one: no text exhausts a thread's stack.
 TITLE_STARTS = "".join(sorted({t[0] for t in [*MALE, *FEMALE, *NEUTRAL]}))
 NAME = rf"(?=[{TITLE_STARTS}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]*\.)+\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]*+\.){1,126}\p{L}{2,}"
 KEY = r"(?=[Ags])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
 KEY_STARTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
 SECRET = (
@@ -47,7 +49,7 @@ SECRET = (
     rf"(?<=(?<![\p{{L}}\p{{N}}])(?i:{SECRET_NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}"
 )
 IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-PEM = r"(?=-)-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[^-]{1,20000}+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
+PEM = r"(?=-)-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[^-]++-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
 JWT = r"(?=e)(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+"
 IPV6 = (
     r"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
