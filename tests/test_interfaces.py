@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import agents, chunking, ordering, rag
 from tidemark.providers import GenAIChatClient, GenAIEmbeddingClient
-from tidemark.sources import index, loaders
+from tidemark.sources import index, loaders, managed
 
 PLANS = [
     '{"tool_calls": [{"name": "a", "arguments": {"x": [1, "y"]}}, {"name": "b"}]}', '{"tool_calls": null}', '{"tool_calls": null, "final_answer": "done"}',
@@ -105,29 +105,17 @@ def test_order_breaks_ties_alike_and_takes_any_type(spark):
     assert chunks.collect() == chunks.collect()
 
 
-def test_a_broken_upsert_is_mended(spark):
-    schema = "id int, content string"
-    one, two = (spark.createDataFrame(r, schema) for r in ([(1, "a"), (2, "b")], [(2, "B"), (3, "c")]))
-    name = "tide_upsert"
-    for left in ("", "_old", "_staged"):
-        spark.sql(f"DROP TABLE IF EXISTS {name}{left}")
-    index.replace_table(spark, name, one)
-    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old")  # as if it broke off here
-    two.write.saveAsTable(f"{name}_staged")
-    index.replace_table(spark, name, two)
-    assert sorted(map(tuple, spark.table(name).collect())) == [(1, "a"), (2, "B"), (3, "c")]
-    assert not any(spark.catalog.tableExists(f"{name}{left}") for left in ("_old", "_staged"))
+def test_managed_index_of_texts(spark):
     embed = GenAIEmbeddingClient("hash")
     maker = index.VectorEmbedding(embed, 60, 5)
     docs = spark.createDataFrame([(0, "moon"), (1, " "), (2, "tide")], "doc_seq long, content string")
-    spark.sql("DROP TABLE IF EXISTS tide_ix")
     for offset in (0, 1):  # the second overwrites id 1 and adds id 2
         maker.generate_index(docs, "content", None, index.MANAGED, catalog="", schema="", endpoint_name="tide", embedding_dim=embed.dim, index_name="ix", id_offset=offset)
     assert sorted((r.id, r.content) for r in spark.table("tide_ix").collect()) == [(0, "moon"), (1, "moon"), (2, "tide")]
     hit = rag.RAGInferencer(embed, GenAIChatClient("stub")).infer("s", "tide", 1, index_type=index.MANAGED, index="tide_ix").first()
     assert hit.retrieved_docs == ["tide"]
-    for t in (name, "tide_ix"):
-        spark.sql(f"DROP TABLE {t}")
+    managed.drop(spark, "tide_ix")
+    assert not spark.catalog.tableExists("tide_ix")
 
 
 def workbook(path, sheets: dict) -> None:

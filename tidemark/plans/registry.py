@@ -13,7 +13,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
-from ..sources import loaders, pdf
+from ..sources import loaders, managed, pdf
 from ..sources.index import upsert_batches, upserted
 from .. import prompts
 from . import sql
@@ -97,6 +97,20 @@ def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(docs, changed.unionByName(added), "doc_id")
 
 
+@query
+def managed_index_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A managed index of all documents, German ones written over, then French ones added and English ones written over."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    name, path = f"tidemark_{uuid.uuid4().hex}", _folder(spark)
+    of = lambda lang: docs.where(F.col("lang") == lang)
+    managed.upsert(spark, name, docs)
+    managed.upsert(spark, name, of("de").withColumn("content", F.reverse("content")))
+    managed.upsert(spark, name, of("fr").withColumn("id", -1 - F.col("id")).unionByName(of("en").withColumn("content", F.lit("en"))))
+    spark.table(name).write.parquet(path)
+    managed.drop(spark, name)
+    return spark.read.parquet(path).select("id", F.md5("content").alias("content_md5"), "lang")
+
+
 @query
 def head_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.head(_t(spark, sf_dir, "benchmark"), "item_id", 7).select("item_id", "text")

@@ -33,3 +33,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "tide
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """A file or folder of any store that Spark reads, and all in it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def list_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies right in a folder of any store that Spark reads; nothing, if it isn't there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath().toString()) for f in store.listStatus(there)] if store.exists(there) else []

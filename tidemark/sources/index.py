@@ -1,4 +1,4 @@
-"""Vector indexes as ordinary tables: a Parquet folder, or a named table with upserts by id."""
+"""Vector indexes as ordinary tables: a Parquet folder, or a named view with upserts by id."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import chunk_corpus, managed_rows
 from ..operators.ordering import with_position
 from ..providers import with_embedding
+from . import managed
 
 INDEX_SCHEMA = "chunk_id long, content string, embedding array<float>"
 MANAGED_SCHEMA = "id int, content string, embedding array<float>"
@@ -49,26 +50,6 @@ def upserted(existing: DataFrame, records: DataFrame, id_col: str = "id") -> Dat
     return existing.join(records.select(id_col), id_col, "left_anti").unionByName(records)
 
 
-def replace_table(spark: SparkSession, name: str, records: DataFrame) -> None:
-    """Records written over those of the same id in a table, or as a new one.
-
-    The new state is written once, beside the old, and takes its name by two
-    renames; a run that broke off between them is finished or undone first, so
-    one whole state is always there.
-    """
-    staged, old = f"{name}_staged", f"{name}_old"
-    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
-        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
-    for left in (staged, old):
-        spark.sql(f"DROP TABLE IF EXISTS {left}")
-    there = spark.catalog.tableExists(name)
-    (upserted(spark.table(name), records) if there else records).write.saveAsTable(staged)
-    if there:
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-    spark.sql(f"DROP TABLE IF EXISTS {old}")
-
-
 class VectorEmbedding:
     """Builds indexes: chunk, embed, write."""
 
@@ -96,6 +77,7 @@ class VectorEmbedding:
         """Embed texts unchunked and upsert them, by id from id_offset, into {catalog}.{schema}.{endpoint}_{index}.
 
         An empty catalog leaves that part out. Null and blank texts are left out.
+        managed.py tells how little an upsert writes.
         """
         spark = df.sparkSession
         name = ".".join(p for p in (catalog, schema, f"{endpoint_name}_{index_name}") if p)
@@ -108,7 +90,7 @@ class VectorEmbedding:
                     F.raise_error(F.lit(f"vectors must have {embedding_dim} components"))
                 ),
             )
-            replace_table(spark, name, checked)
+            managed.upsert(spark, name, checked)
         except Exception as e:
             raise RuntimeError(f"upsert into {name} failed: {e}") from e
 
