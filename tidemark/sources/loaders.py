@@ -3,8 +3,8 @@
 Files are listed and read by Spark's binaryFile source, so any store Spark
 reads will do, and parsed a file at a time on the executors. What can't be
 parsed goes to an error column instead of ending the load. Word, PowerPoint and
-xlsx files are read from their XML with the standard library, PDF files by
-pdf.py, a page at a time; old xls files need an optional package.
+xlsx files are read from their XML with the standard library, old xls files by
+xls.py, PDF files by pdf.py, a page at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import linearize
 from ..operators.chunking import explode_chunks, split_text
 from .pdf import pdf_texts
+from .xls import DATE_FORMATS, as_date, shows_date, xls_sheets
 
 SCHEMA = "filename string, part int, content string, error string"
 SUPPORTED = ("pdf", "txt", "csv", "xls", "xlsx", "docx", "pptx")
@@ -57,8 +58,18 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def _cell(cell: ElementTree.Element, shared: list[str]):
-    """A cell's value as text, number, truth or None."""
+def _dated(archive: zipfile.ZipFile) -> list[bool]:
+    """Of each cell style, whether it shows numbers as dates or times."""
+    if "xl/styles.xml" not in archive.namelist():
+        return []
+    styles = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): shows_date(f.get("formatCode", "")) for f in styles.iter() if f.tag.endswith("}numFmt")}
+    kinds = [int(x.get("numFmtId", 0)) for of in styles if of.tag.endswith("}cellXfs") for x in of]
+    return [own.get(k, k in DATE_FORMATS) for k in kinds]
+
+
+def _cell(cell: ElementTree.Element, shared: list[str], dated: list[bool], from_1904: bool):
+    """A cell's value as text, number, truth, time or None."""
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter() if t.tag.endswith("}t"))
@@ -71,12 +82,14 @@ def _cell(cell: ElementTree.Element, shared: list[str]):
         return raw
     if kind == "b":
         return raw == "1"
-    value = float(raw)
+    value, style = float(raw), int(cell.get("s", 0))
+    if style < len(dated) and dated[style]:
+        return as_date(value, from_1904)
     return int(value) if value.is_integer() else value
 
 
 def _sheets(raw: bytes) -> list[tuple[str, str]]:
-    """(name, table as text) of each sheet of an xlsx workbook, the first row as header; dates stay numbers."""
+    """(name, table as text) of each sheet of an xlsx workbook."""
     archive = zipfile.ZipFile(io.BytesIO(raw))
     names = set(archive.namelist())
     shared = []
@@ -84,8 +97,9 @@ def _sheets(raw: bytes) -> list[tuple[str, str]]:
         for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
             shared.append("".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")))
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-    out = []
-    for sheet in (x for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")):
+    out, dated, book = [], _dated(archive), ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter() if x.tag.endswith("}workbookPr"))
+    for sheet in (x for x in book.iter() if x.tag.endswith("}sheet")):
         target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
         path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         rows = []
@@ -93,17 +107,17 @@ def _sheets(raw: bytes) -> list[tuple[str, str]]:
             at = int(row.get("r", len(rows) + 1)) - 1
             rows += [{} for _ in range(at + 1 - len(rows))]
             for n, cell in enumerate(c for c in row if c.tag.endswith("}c")):
-                rows[at][_column(cell.get("r")) if cell.get("r") else n] = _cell(cell, shared)
-        width = 1 + max((max(r, default=-1) for r in rows), default=-1)
-        table = [[r.get(i) for i in range(width)] for r in rows]
-        header = [f"Unnamed: {i}" if h is None else h for i, h in enumerate(table[0])] if table else []
-        frame = pd.DataFrame(table[1:], columns=header).infer_objects()
-        out.append((sheet.get("name"), frame.to_string(index=False)))
+                rows[at][_column(cell.get("r")) if cell.get("r") else n] = _cell(cell, shared, dated, from_1904)
+        out.append((sheet.get("name"), table_text(rows)))
     return out
 
 
-def _old_sheets(raw: bytes) -> list[tuple[str, str]]:
-    return [(name, sheet.to_string(index=False)) for name, sheet in pd.read_excel(io.BytesIO(raw), sheet_name=None).items()]
+def table_text(rows: list[dict]) -> str:
+    """A sheet's rows, which hold cells by column, as text; the first row is the header."""
+    width = 1 + max((max(r, default=-1) for r in rows), default=-1)
+    table = [[r.get(i) for i in range(width)] for r in rows]
+    header = [f"Unnamed: {i}" if h is None else h for i, h in enumerate(table[0])] if table else []
+    return pd.DataFrame(table[1:], columns=header).infer_objects().to_string(index=False)
 
 
 def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
@@ -112,7 +126,8 @@ def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
     if kind == "csv":
         return [(name, r) for r in _csv_rows(raw)]
     if kind in ("xls", "xlsx"):
-        return [(f"{name}::{sheet}", text) for sheet, text in (_sheets if kind == "xlsx" else _old_sheets)(raw)]
+        named = _sheets(raw) if zipfile.is_zipfile(io.BytesIO(raw)) else [(sheet, table_text(rows)) for sheet, rows in xls_sheets(raw)]
+        return [(f"{name}::{sheet}", text) for sheet, text in named]
     if kind == "txt":
         return [(name, raw.decode("utf-8").strip())]
     if kind == "docx":
