@@ -12,6 +12,7 @@ from .. import prompts
 from ..functions.text import fill, shorten
 from ..providers import SAFE_ANSWER, GenAIChatClient, GenAIEmbeddingClient, with_embedding, with_reply
 from ..session import shared_dir
+from ..sources import keywords
 from ..sources.index import LOCAL, MANAGED, attach_index, read_index
 from ..sources.metrics_sink import log_to_mlflow, write_metrics
 from . import evaluation
@@ -34,10 +35,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 class Bm25Client:
-    """Keyword search over the index's own texts."""
+    """Keyword search over the index's own texts, or over a keyword index of them that keywords.build() has stored."""
+
+    def __init__(self, keyword_path: str | None = None):
+        self.keyword_path = keyword_path
 
     def search_frame(self, index: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
-        return bm25(index, questions, top_k)
+        if self.keyword_path is None:
+            return bm25(index, questions, top_k)
+        found, _ = keywords.search(index.sparkSession, self.keyword_path, questions, top_k)
+        return found.withColumnRenamed("id", "chunk_id")
 
 
 def retrieve(

@@ -13,7 +13,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
-from ..sources import loaders, managed, pdf
+from ..sources import keywords, loaders, managed, pdf
 from ..sources.index import upsert_batches, upserted
 from .. import prompts
 from . import sql
@@ -145,6 +145,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
 
 
+@query
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, from an index of all documents that is written first."""
+    path = _folder(spark)
+    keywords.build(_t(spark, sf_dir, "documents"), path, "doc_id", "text")
+    found, _ = keywords.search(spark, path, _t(spark, sf_dir, "benchmark"), 5, "item_id", "text")
+    return found.select("item_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
 @query
 def fuse_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))

@@ -328,3 +328,5 @@ MANAGED_INDEX_UPSERTS = """
 SELECT doc_id AS id, md5(CASE lang WHEN 'de' THEN reverse(text) WHEN 'en' THEN 'en' ELSE text END) AS content_md5, lang FROM documents
 UNION ALL SELECT -1 - doc_id, md5(text), lang FROM documents WHERE lang = 'fr'
 """
+
+BM25_STORED = BM25_TOPK
