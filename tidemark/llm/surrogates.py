@@ -131,10 +131,9 @@ def _redrawn(text: Column, stream: Column) -> Column:
     """Every letter and digit by another of its case and script, marks on letters left out; hex stays hex; the rest stays."""
 
     def whole(t: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(t["text"]) - 1, F.lit(0))), lambda i: one(t, i)), "")
+        return F.array_join(F.transform(t["letters"], lambda c, i: one(t, c, i)), "")
 
-    def one(t: Column, i: Column) -> Column:
-        c = F.substr(t["text"], (i + 1).cast("int"), F.lit(1))
+    def one(t: Column, c: Column, i: Column) -> Column:
         letters = F.when(t["lower"] & (c != ":"), HEX).when(t["upper"] & (c != ":"), HEX_UPPER)
         for alphabet in ALPHABETS:
             letters = letters.when(F.instr(F.lit(alphabet), c) > 0, alphabet)
@@ -146,7 +145,8 @@ def _redrawn(text: Column, stream: Column) -> Column:
         return let(F.coalesce(letters, F.lit("")), lambda a: F.when(a == "", kept).otherwise(other(a)))
 
     lower, upper = text.rlike("^[0-9a-f:]{12,}$") & text.rlike("[a-f]"), text.rlike("^[0-9A-F:]{12,}$") & text.rlike("[A-F]")
-    return let(F.struct(text.alias("text"), stream.alias("stream"), lower.alias("lower"), upper.alias("upper")), whole)
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # once; substr would count from the start each time
+    return let(F.struct(letters.alias("letters"), stream.alias("stream"), lower.alias("lower"), upper.alias("upper")), whole)
 
 
 def _luhn(digits: Column) -> Column:
