@@ -32,6 +32,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, where lambdas would repeat it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def linearize(*columns: Column) -> Column:
     """Values joined by ' | '; nulls are left out."""
     return F.concat_ws(" | ", *[c.cast("string") for c in columns])
@@ -70,6 +75,33 @@ def first_json_array(text: Column) -> Column:
     return F.regexp_replace(found, r",(\s*[\]}])", "$1")
 
 
+def lenient_json_array(text: Column) -> Column:
+    """From the first '[' to the ']' that closes it, brackets inside strings passed over; null without one.
+
+    Trailing commas are mended only if it isn't JSON as it stands. An automaton
+    steps over the text's marks and the stretches between them, so time is
+    linear in the text, and no pattern recurses.
+    """
+    pieces = F.regexp_extract_all(F.regexp_extract(text, r"(?s)\[.*", 0), F.lit(r'(?s)\\.|["\[\]]|[^"\\\[\]]+|\\'), F.lit(0))
+
+    def step(s: Column, piece: Column) -> Column:
+        inside = F.when(piece == '"', ~s["inside"]).otherwise(s["inside"])
+        depth = s["depth"] + F.when(s["inside"], 0).when(piece == "[", 1).when(piece == "]", -1).otherwise(0)
+        end = F.when((s["end"] == 0) & ~s["inside"] & (piece == "]") & (depth == 0), s["at"] + 1).otherwise(s["end"])
+        return F.struct((s["at"] + 1).alias("at"), depth.alias("depth"), inside.alias("inside"), end.alias("end"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("end"))
+
+    def closed(p: Column) -> Column:
+        end = F.aggregate(p, start, step)["end"]
+        return let(end, lambda e: F.when(e > 0, F.array_join(F.slice(p, 1, F.greatest(e, F.lit(1))), "")))
+
+    def mended(found: Column) -> Column:
+        return F.when(F.try_parse_json(found).isNotNull(), found).otherwise(F.regexp_replace(found, r",(\s*[\]}])", "$1"))
+
+    return let(let(pieces, closed), mended)
+
+
 def parse_arguments(text: Column) -> Column:
     """Tool arguments as JSON text: null gives {}, what isn't JSON is wrapped under _raw."""
     wrapped = F.to_json(F.struct(text.alias("_raw")))

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import terms
+from .text import let, terms
 
 HASH_DIM = 64
 
@@ -22,11 +22,6 @@ def squared_l2(a: Column, b: Column) -> Column:
     )
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once, where lambdas would repeat it for each element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def hash_embedding(text: Column, dim: int = HASH_DIM) -> Column:
     """Feature-hashed term counts at unit length: an embedding that needs no model.
 

@@ -7,12 +7,16 @@ row each, are added up first. No step puts all rows into one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Rows that a bucket may have, about; and sampled rows that place each bound.
 BUCKET_ROWS, SAMPLE_PER_BUCKET = 1 << 20, 50
+#: Bounds that a row is held against one by one.
+STEPS = 64
 
 
 def _tie(df: DataFrame) -> Column:
@@ -39,8 +43,16 @@ def bucketed(df: DataFrame, order_col: str, buckets: int | None = None) -> DataF
     if not bounds:
         return tied.withColumn("_bucket", F.lit(0))
     kind = tied.select(at.alias("at")).schema["at"].dataType
-    limits = F.array(*[F.struct(F.lit(rows[i]["o"]).cast(kind["o"].dataType).alias("o"), F.lit(rows[i]["t"]).alias("t")) for i in bounds])
-    return tied.withColumn("_bucket", F.size(F.filter(limits, lambda b: b <= at)))
+    limits = [F.struct(F.lit(rows[i]["o"]).cast(kind["o"].dataType).alias("o"), F.lit(rows[i]["t"]).alias("t")) for i in bounds]
+    below = lambda some: F.size(F.filter(some, lambda b: b <= at))
+    if len(limits) <= STEPS:
+        return tied.withColumn("_bucket", below(F.array(*limits)))
+    # in two steps, so that a row meets twice the root of the number of bounds
+    size = math.isqrt(len(limits)) + 1
+    groups = F.array(*[F.array(*limits[i : i + size]) for i in range(0, len(limits), size)])
+    first = tied.withColumn("_group", below(F.array(*limits[::size])))
+    inside = F.when(F.col("_group") > 0, (F.col("_group") - 1) * size + below(F.get(groups, F.col("_group") - 1))).otherwise(0)
+    return first.withColumn("_bucket", inside.cast("int")).drop("_group")
 
 
 def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, buckets: int | None = None) -> DataFrame:

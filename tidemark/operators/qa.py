@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_json_array
+from ..functions.text import first_json_array, lenient_json_array
 
 PAIR = "array<map<string,string>>"
 
 
-def qa_pairs(replies: DataFrame, batch_col: str = "batch", reply_col: str = "reply", max_total: int | None = None) -> DataFrame:
+def qa_pairs(replies: DataFrame, batch_col: str = "batch", reply_col: str = "reply", max_total: int | None = None, lenient: bool = False) -> DataFrame:
     """(batch, pos, pair): the pairs in each reply's JSON array; replies without a valid one give none.
 
-    ground_truth is renamed to 'ground truth' and wins over a key spelt so.
+    The array ends at the first ']', be it inside an answer; lenient takes the
+    one that closes it. ground_truth is renamed to 'ground truth' and wins over a key spelt so.
     max_total caps pairs over all batches in order.
     """
-    parsed = F.from_json(first_json_array(F.col(reply_col)), PAIR)
+    parsed = F.from_json((lenient_json_array if lenient else first_json_array)(F.col(reply_col)), PAIR)
     rows = replies.select(F.col(batch_col).alias("batch"), F.posexplode(parsed).alias("pos", "pair"))
     renamed = F.map_concat(
         F.map_filter("pair", lambda key, _: ~key.isin("ground_truth", "ground truth")),

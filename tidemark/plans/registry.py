@@ -16,6 +16,8 @@ from ..session import shared_dir
 from ..sources import keywords, loaders, managed, pdf
 from ..sources.index import upsert_batches, upserted
 from .. import prompts
+from ..ledger import with_kept_reply
+from ..streaming import windows
 from . import sql
 
 QUERIES: dict = {}
@@ -357,3 +359,49 @@ def load_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(F.col("doc_id").cast("string").alias("filename"), F.encode(raw, "UTF-8").alias("content"))
     pages = pdf.pdf_texts(files).where("error is null")
     return pages.select(F.col("filename").cast("long").alias("doc_id"), F.col("part").cast("long").alias("page"), F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
+
+
+@query
+def qa_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose answers hold brackets and quotes, from replies with text around the array."""
+    replies = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("batch"), F.expr(sql.BRACKET_REPLY).alias("reply"))
+    pairs = qa.qa_pairs(replies, lenient=True)
+    return pairs.select("batch", F.col("pair")["question"].alias("question"), F.col("pair")["ground truth"].alias("ground truth"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, aggregate) -> DataFrame:
+    """All events as a stream's first batch, then one event much later, which closes every window of theirs."""
+    path, events = _folder(spark), _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    events.write.parquet(f"{path}/in")
+    run = lambda: windows.drained(spark, f"{path}/in", windows.EVENTS, aggregate, f"{path}/out", f"{path}/state")
+    run()
+    after = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in events.dtypes}
+    after.select(*[F.col("ts") if c == "ts" else F.lit(-1).cast("long").alias(c) if c == "user_id" else F.lit("end").alias(c) if c == "event_type" else none[c] for c in events.columns]).write.mode("append").parquet(f"{path}/in")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    found = run()
+    return found.select(found.columns[0], micros("start"), micros("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's sessions, by a stream over all events."""
+    return _streamed(spark, sf_dir, lambda events: windows.sessions(events, "6 hours"))
+
+
+@query
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's events in windows of six hours that begin every two, by a stream over all events."""
+    return _streamed(spark, sf_dir, lambda events: windows.windows(events, "6 hours", "2 hours"))
+
+
+@query
+def kept_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items asked through a ledger twice, the second time with all documents' first lines; calls is how many replies it holds."""
+    path, client = _folder(spark), GenAIChatClient("stub")
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    with_kept_reply(items, client, "prompt", path, max_tokens=100).write.format("noop").mode("overwrite").save()
+    lines = _t(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.substring_index("text", "\n", 1).alias("prompt"))
+    told = with_kept_reply(items.unionByName(lines), client, "prompt", path, max_tokens=100)
+    calls = spark.read.parquet(f"{path}/replies").agg(F.count("*").alias("calls"))  # one row
+    return told.select("id", F.md5("reply").alias("reply_md5")).crossJoin(F.broadcast(calls))

@@ -330,3 +330,37 @@ UNION ALL SELECT -1 - doc_id, md5(text), lang FROM documents WHERE lang = 'fr'
 """
 
 BM25_STORED = BM25_TOPK
+
+BRACKET_REPLY = (
+    """concat('Sure: ', to_json(array(named_struct('question', substring(text, 1, 60), 'ground_truth',"""
+    """ concat('] [', substring(text, 1, 200), ' " ]')))), ' and [more].')"""
+)
+QA_LENIENT = """
+SELECT doc_id AS batch, substring(text, 1, 60) AS question, '] [' || substring(text, 1, 200) || ' " ]' AS "ground truth" FROM documents
+"""
+
+EVENT_SESSIONS = """
+WITH after AS (
+  SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL
+), numbered AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM after
+)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 6 HOUR) AS "end", count(*) AS n, round(sum(value), 4) AS total
+FROM numbered GROUP BY user_id, s
+"""
+
+EVENT_WINDOWS = """
+WITH placed AS (
+  SELECT event_type, value, epoch_us(ts) // 7200000000 * 7200000000 - k * 7200000000 AS start
+  FROM events, unnest([0, 1, 2]) AS t(k) WHERE ts IS NOT NULL AND event_type IS NOT NULL
+)
+SELECT event_type, start, start + 21600000000 AS "end", count(*) AS n, round(sum(value), 4) AS total FROM placed GROUP BY event_type, start
+"""
+
+KEPT_REPLIES = """
+WITH asked AS (
+  SELECT item_id AS id, text AS prompt FROM benchmark
+  UNION ALL SELECT -1 - doc_id, split_part(text, chr(10), 1) FROM documents
+)
+SELECT id, md5(substring(prompt, 1, 100)) AS reply_md5, (SELECT count(DISTINCT prompt) FROM asked WHERE prompt IS NOT NULL) AS calls FROM asked
+"""
