@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as str.strip() has it; Java's (?U)\s lacks the four separators.
 SPACE = r"[\s\x1c-\x1f]"
+#: Characters beyond the width by which shorten() tells where words part; only a longer run of hyphens would hide it.
+SHOWN = 1000
 
 
 def strip(text: Column) -> Column:
@@ -60,13 +62,19 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def shorten(text: Column, width: int = 800) -> Column:
-    """White space collapsed; cut at a word or hyphen so that it fits with ' [...]'."""
+    """White space collapsed; cut at a word or hyphen so that it fits with ' [...]'.
+
+    Texts that fit stay in the JVM; of longer ones only what may show goes to
+    Python, whose textwrap says where words and hyphens part.
+    """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else textwrap.shorten(t, width, placeholder=" [...]"))
 
-    return cut(text)
+    flat = F.array_join(words(text), " ")
+    long = F.length(flat) > width
+    return F.when(long, cut(F.when(long, F.substring(flat, 1, width + SHOWN)))).when(text.isNotNull(), flat)
 
 
 def first_json_array(text: Column) -> Column:

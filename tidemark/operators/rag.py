@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import prompts
 from ..functions.text import fill, shorten
 from ..providers import SAFE_ANSWER, GenAIChatClient, GenAIEmbeddingClient, with_embedding, with_reply
-from ..session import shared_dir
+from ..session import kept
 from ..sources import keywords
 from ..sources.index import LOCAL, MANAGED, attach_index, read_index
 from ..sources.metrics_sink import log_to_mlflow, write_metrics
@@ -27,13 +26,6 @@ MODES = ("standard", "hybrid", "hyde")
 FIRST_ROUND = 8
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share and read again: models whose replies it holds aren't asked a second time."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Bm25Client:
     """Keyword search over the index's own texts, or over a keyword index of them that keywords.build() has stored."""
 

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vectors import squared_l2
+from ..session import kept
 
 #: Bytes of a block of vectors or term weights.
 BLOCK_BYTES = 4 << 20
@@ -129,7 +129,7 @@ def bm25(
     """(query_id, id, score, ord): BM25 (Robertson and Zaragoza, 2009), ties to the smaller id.
 
     Texts are tokenized once into the counts of terms that questions ask for,
-    which are kept on disk for the two passes over them. A task packs its
+    which are written to the shared folder for the two passes over them. A task packs its
     texts' weights into blocks; blocks of texts meet blocks of questions, which
     return their k best per question. So a word that all texts hold and all
     questions ask for costs additions in place, not a row for each pair.
@@ -137,12 +137,11 @@ def bm25(
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("q is not null")
     wanted = asked.select("term").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    counts = (
+    counts = kept(
         texts.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
         .join(wanted.withColumn("wanted", F.lit(True)), "term", "left")
         .groupBy("id", "length", F.when(F.col("wanted"), F.col("term")).alias("term"))
         .agg(F.count("*").alias("tf"))
-        .persist(StorageLevel.DISK_ONLY)
     )
     lengths = counts.select("id", "length").distinct()
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -124,6 +125,13 @@ def strip_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(tx.words(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query
+def shorten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a context of 800 characters."""
+    short = _t(spark, sf_dir, "documents").select("doc_id", tx.shorten(F.col("text"), 800).alias("short"))
+    return short.select("doc_id", F.md5("short").alias("short_md5"), F.length("short").cast("long").alias("n_chars"))
+
+
 @query
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = _t(spark, sf_dir, "benchmark")
@@ -278,7 +286,7 @@ def _rag(mode: str):
         questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
         inferencer = rag.RAGInferencer(GenAIEmbeddingClient("hash"), GenAIChatClient("stub"), rag.Bm25Client())
         answers = inferencer.infer_frame(questions, top_k=5, mode=mode, index_path=path)
-        return answers.select("query_id", F.size("retrieved_docs").cast("long").alias("n_docs"), "answer")
+        return answers.select("query_id", F.size("retrieved_docs").cast("long").alias("n_docs"), F.md5(F.array_join("retrieved_docs", "\n")).alias("docs_md5"), "answer")
 
     run.__name__ = f"rag_{mode}"
     return run
@@ -288,10 +296,19 @@ for _mode in rag.MODES:
     query(_rag(_mode))
 
 
+class FirstWords(GenAIChatClient):
+    """Answers the prompt for pairs from the text in it: its beginning asks for its length, its end for its hash."""
+
+    def chat(self, user_input, system_prompt=None, max_tokens=1024, temperature=1.0, top_k=1.0):
+        text = user_input.partition("Text:\n")[2]
+        told = [(text[:40], str(len(text))), (text[-40:], hashlib.md5(text.encode()).hexdigest())]
+        return f"Here they are: {json.dumps([{'question': q, 'ground_truth': a} for q, a in told])}"
+
+
 @query
 def qa_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question and answer pairs for every batch of all documents; the stub repeats the prompt, whose own example is the pair."""
-    maker = rag.EvalDatasetGroundTruthGenerator(GenAIChatClient("stub"))
+    """Two pairs for every batch of all documents, told from the batch's whole text."""
+    maker = rag.EvalDatasetGroundTruthGenerator(FirstWords("stub"))
     return maker.process_dataframe(_t(spark, sf_dir, "documents"), "text", order_col="doc_id")
 
 

@@ -265,7 +265,7 @@ _NEAR_HASHED = """near AS (
 )"""
 
 _ANSWERED = r"""
-SELECT item_id AS query_id, count(content) AS n_docs,
+SELECT item_id AS query_id, count(content) AS n_docs, md5(coalesce(string_agg(content, chr(10) ORDER BY ord), '')) AS docs_md5,
        substr(concat('Context:', chr(10), coalesce(string_agg(trim(regexp_replace(content, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY ord), ''),
                      chr(10), chr(10), 'Question: ', benchmark.text), 1, 256) AS answer
 FROM benchmark LEFT JOIN {hits} ON query_id = item_id GROUP BY item_id, benchmark.text
@@ -294,8 +294,13 @@ WITH {_DOCS_HASHED}, {_asked('text')}, {_NEAR_HASHED}, {_BM25}, by_text AS (
 {_ANSWERED.format(hits='fused')}
 """
 
-QA_GENERATE = f"""
-WITH RECURSIVE {_BATCHES} SELECT '...' AS question, '...' AS "ground truth" FROM (SELECT DISTINCT batch FROM walk)
+QA_GENERATE = rf"""
+WITH RECURSIVE {_BATCHES}, texts AS (
+  SELECT batch, string_agg(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), ' ' ORDER BY place) AS t
+  FROM walk JOIN documents USING (doc_id) GROUP BY batch
+)
+SELECT substr(t, 1, 40) AS question, length(t)::VARCHAR AS "ground truth" FROM texts
+UNION ALL SELECT right(t, 40), md5(t) FROM texts
 """
 
 FIXED_JUDGE = "Answer Relevance: 0.75 Accuracy: 1.0 Completeness: 0.5 Clarity: 0.25 Semantic Similarity Score: 90%"
@@ -364,3 +369,14 @@ WITH asked AS (
 )
 SELECT id, md5(substring(prompt, 1, 100)) AS reply_md5, (SELECT count(DISTINCT prompt) FROM asked WHERE prompt IS NOT NULL) AS calls FROM asked
 """
+
+SHORTEN_TEXT = r"""
+WITH flat AS (
+  SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents
+), cut AS (
+  SELECT doc_id, t, regexp_extract(substr(t, 1, 795), '^(.*) ', 1) AS kept FROM flat
+), shorts AS (
+  SELECT doc_id, CASE WHEN length(t) <= 800 THEN t WHEN kept = '' THEN '[...]' ELSE kept || ' [...]' END AS short FROM cut
+)
+SELECT doc_id, md5(short) AS short_md5, length(short)::BIGINT AS n_chars FROM shorts
+"""

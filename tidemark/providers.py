@@ -33,15 +33,9 @@ def _open_api(c: Any) -> Any:
 
     key = c.api_key or os.environ.get("TIDEMARK_API_KEY") or os.environ.get("OPENAI_API_KEY")
     if c.provider == "azure-openai":
-        if not (key and c.api_version and c.azure_endpoint):
-            raise ValueError("azure-openai needs api_key, api_version and azure_endpoint")
         return openai.AzureOpenAI(api_key=key, api_version=c.api_version, azure_endpoint=c.azure_endpoint)
     if c.provider == "ollama":
         return openai.OpenAI(base_url=c.base_url or "http://localhost:11434/v1", api_key=key or "ollama")
-    if not key:
-        raise ValueError(f"{c.provider} needs api_key")
-    if c.provider == "databricks" and not c.base_url:
-        raise ValueError("databricks needs base_url")
     return openai.OpenAI(api_key=key, **({"base_url": c.base_url} if c.base_url else {}))
 
 
@@ -54,6 +48,19 @@ class _Client:
     api_version: str | None = None
     azure_endpoint: str | None = None
 
+    def _check(self, known: tuple[str, ...], kind: str) -> None:
+        """Provider names count in any case; what a provider needs is missed here and not by the first task that calls it."""
+        self.provider = (self.provider or "").lower()
+        if self.provider not in known:
+            raise ValueError(f"unknown {kind} provider {self.provider!r}; one of {known}")
+        key = self.api_key or os.environ.get("TIDEMARK_API_KEY") or os.environ.get("OPENAI_API_KEY")
+        if self.provider == "azure-openai" and not (key and self.api_version and self.azure_endpoint):
+            raise ValueError("azure-openai needs api_key, api_version and azure_endpoint")
+        if self.provider in ("openai", "databricks") and not key:
+            raise ValueError(f"{self.provider} needs api_key")
+        if self.provider == "databricks" and not self.base_url:
+            raise ValueError("databricks needs base_url")
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_opened"}
 
@@ -66,8 +73,7 @@ class GenAIEmbeddingClient(_Client):
     dim: int = HASH_DIM
 
     def __post_init__(self) -> None:
-        if self.provider not in EMBED_PROVIDERS:
-            raise ValueError(f"unknown embedding provider {self.provider!r}; one of {EMBED_PROVIDERS}")
+        self._check(EMBED_PROVIDERS, "embedding")
 
     def _call(self, texts: list[str]) -> list[list[float]]:
         if self.provider == "hash":
@@ -111,8 +117,7 @@ class GenAIChatClient(_Client):
     replies: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        if self.provider not in CHAT_PROVIDERS:
-            raise ValueError(f"unknown chat provider {self.provider!r}; one of {CHAT_PROVIDERS}")
+        self._check(CHAT_PROVIDERS, "chat")
 
     def chat(
         self,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that executors share and read again, so that nothing is computed, or asked of a model, a second time."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "tidemark") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
     return (

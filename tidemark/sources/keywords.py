@@ -19,13 +19,11 @@ holds all texts of a question or all questions of a text in one row.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..session import shared_dir
+from ..session import kept
 
 #: Postings of a block, about; postings summed for a first bound, about; and how far sums in another order may differ.
 #: TRIED times k texts are scored in full for the bound.
@@ -42,8 +40,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("id"))
 
 
-def _kept(df: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,14 +53,14 @@ def build(docs: DataFrame, path: str, id_col: str = "chunk_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     each = texts.select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term"))
-    counts = _kept(each.groupBy("id", "length", "term").agg(F.count("term").alias("tf")), f"{path}/counts")
+    counts = _stored(each.groupBy("id", "length", "term").agg(F.count("term").alias("tf")), f"{path}/counts")
     lengths = counts.groupBy("id").agg(F.max("length").alias("length"))
-    stats = _kept(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), f"{path}/stats").first()
+    stats = _stored(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), f"{path}/stats").first()
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(stats.mean or 1.0))
     weights = counts.where("term is not null").select("term", "id", (F.col("tf") * (k1 + 1) / norm).alias("w"))
     found = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("best"))
     needed = F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK))).cast("int")
-    of_terms = _kept(found.withColumn("bits", needed).repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms")
+    of_terms = _stored(found.withColumn("bits", needed).repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms")
     placed = _hashed(weights).join(of_terms.select("term", "bits"), "term").withColumn("block", _block(F.col("id"), F.col("bits")))
     blocks = placed.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("p"))
     rows = blocks.select("term", "block", F.size("p").alias("n"), F.array_max("p.w").alias("most"), F.col("p.id").alias("ids"), F.col("p.w").alias("ws"))
@@ -85,7 +82,7 @@ def search(
     idf = F.ln(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = asked.join(of_terms, "term").withColumn("idf", idf).withColumn("most", F.col("idf") * F.col("best"))
     rare = Window.partitionBy("q").orderBy("df", "term")  # of a question's terms
-    known = _kept(known.withColumn("seed", (F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0)) <= SEED) | (F.row_number().over(rare) == 1)))
+    known = kept(known.withColumn("seed", (F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0)) <= SEED) | (F.row_number().over(rare) == 1)))
 
     def summed(some: DataFrame) -> DataFrame:
         """(q, id, s): sums over whole postings of some terms."""
@@ -103,21 +100,21 @@ def search(
         return where.join(blocks, ["term", "block"]).select("q", "id", weight.alias("s")).where("s is not null")
 
     first = summed(known.where("seed")).withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id")))
-    tried = _kept(first.where(F.col("at") <= TRIED * k))
-    tried_at = _kept(placed(tried, known.where("not seed")))
+    tried = kept(first.where(F.col("at") <= TRIED * k))
+    tried_at = kept(placed(tried, known.where("not seed")))
     scores = tried.select("q", "id", "s").unionByName(looked_up(tried_at)).groupBy("q", "id").agg(F.sum("s").alias("s"))
     at = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
     reached = scores.withColumn("at", at).where(F.col("at") == k).select("q", (F.col("s") - SLACK).alias("reached"))
     less = Window.partitionBy("q").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     judged = known.join(reached, "q", "left").withColumn("below", F.sum("most").over(less))
-    judged = _kept(judged.withColumn("common", F.coalesce(F.col("below") < F.col("reached"), F.lit(False))))
+    judged = kept(judged.withColumn("common", F.coalesce(F.col("below") < F.col("reached"), F.lit(False))))
     rest = judged.where("common").groupBy("q").agg(F.sum("most").alias("rest"), F.max("reached").alias("reached"))
     partial = summed(judged.where("not common")).join(rest, "q", "left")
-    open_ = _kept(partial.where("rest is null or s + rest >= reached"))
+    open_ = kept(partial.where("rest is null or s + rest >= reached"))
     asked_for = placed(open_, judged.where("common"))
     bound = asked_for.join(blocks.select("term", "block", "most"), ["term", "block"]).groupBy("q", "id").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-    open_ = _kept(open_.join(bound, ["q", "id"], "left").where("rest is null or s + coalesce(bound, 0) >= reached").select("q", "id", "s"))
-    asked_for = _kept(placed(open_, judged.where("common")))
+    open_ = kept(open_.join(bound, ["q", "id"], "left").where("rest is null or s + coalesce(bound, 0) >= reached").select("q", "id", "s"))
+    asked_for = kept(placed(open_, judged.where("common")))
     more = looked_up(asked_for)
     score = open_.select("q", "id", "s").unionByName(more).groupBy("q", "id").agg(F.sum("s").alias("score"))
     ranked = score.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))).where(F.col("ord") <= k)
