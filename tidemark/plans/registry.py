@@ -15,7 +15,7 @@ from ..operators import agents, batching, chunking, evaluation, ordering, qa, ra
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
 from ..sources import keywords, loaders, managed, pdf
-from ..sources.index import upsert_batches, upserted
+from ..sources.index import VectorEmbedding, upsert_batches, upserted
 from .. import prompts
 from ..ledger import with_kept_reply
 from ..streaming import windows
@@ -296,6 +296,31 @@ for _mode in rag.MODES:
     query(_rag(_mode))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> str:
+    """The path of an index that generate_index() makes of all documents, joined and cut into chunks."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_seq"), F.col("text").alias("content"))
+    path, _ = VectorEmbedding(GenAIEmbeddingClient("hash"), 500, 50).generate_index(docs, "content", _folder(spark))
+    return path
+
+
+@query
+def index_then_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item answered over the chunks of an index made of all documents."""
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    inferencer = rag.RAGInferencer(GenAIEmbeddingClient("hash"), GenAIChatClient("stub"))
+    answers = inferencer.infer_frame(questions, top_k=5, max_tokens=4000, index_path=_indexed(spark, sf_dir))
+    return answers.select("query_id", F.md5(F.array_join("retrieved_docs", "\n")).alias("docs_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query
+def run_rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation frame that run_rag() makes of every benchmark item."""
+    questions = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    inferencer = rag.RAGInferencer(GenAIEmbeddingClient("hash"), GenAIChatClient("stub"))
+    made = rag.RagEvalDataPrep(inferencer, prompts.RAG, "local_index", _indexed(spark, sf_dir)).run_rag(questions, top_k=3)
+    return made.select("item_id", "question", "answer")
+
+
 class FirstWords(GenAIChatClient):
     """Answers the prompt for pairs from the text in it: its beginning asks for its length, its end for its hash."""
 

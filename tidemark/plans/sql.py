@@ -380,3 +380,27 @@ WITH flat AS (
 )
 SELECT doc_id, md5(short) AS short_md5, length(short)::BIGINT AS n_chars FROM shorts
 """
+
+_CHUNKS_NEAR = f"""chunks AS MATERIALIZED ({CHUNK_CORPUS}), {_HASHED.format(name="chunk_vectors", id="chunk_id", text="content", table="chunks")}, {_asked("text")},
+near AS (
+  SELECT q.id AS query_id, d.id AS chunk_id,
+         list_sum(list_transform(range(1, 65), lambda i: pow(d.v[i] - q.v[i], 2))) AS distance,
+         row_number() OVER (PARTITION BY q.id ORDER BY distance, d.id) AS ord
+  FROM chunk_vectors d, asked_vectors q QUALIFY ord <= 5
+), found AS (
+  SELECT query_id, content, ord FROM near JOIN chunks USING (chunk_id)
+)"""
+_CONTEXT = r"""concat('Context:', chr(10), coalesce(string_agg(trim(regexp_replace(content, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY ord), ''),
+  chr(10), chr(10), 'Question: ', benchmark.text)"""
+
+INDEX_THEN_INFER = f"""
+WITH {_CHUNKS_NEAR}
+SELECT item_id AS query_id, md5(coalesce(string_agg(content, chr(10) ORDER BY ord), '')) AS docs_md5, md5(substr({_CONTEXT}, 1, 4000)) AS answer_md5
+FROM benchmark LEFT JOIN found ON query_id = item_id GROUP BY item_id, benchmark.text
+"""
+
+RUN_RAG_ANSWERS = f"""
+WITH {_CHUNKS_NEAR}
+SELECT item_id, benchmark.text AS question, substr({_CONTEXT}, 1, 256) AS answer
+FROM benchmark LEFT JOIN found ON query_id = item_id AND ord <= 3 GROUP BY item_id, benchmark.text
+"""
