@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -49,11 +49,32 @@ def call_key(client: Any, prompt: Column, system_prompt: str | None, max_tokens:
     return F.sha2(F.concat(F.lit(json.dumps([*told, system_prompt, max_tokens])), F.lit("\n"), prompt), 256)
 
 
-def _store(ledger: str) -> tuple[Any, str]:
-    """The file system of a folder, as tasks reach it, and the path there."""
-    from pyarrow import fs
+class Saved:
+    """Results by key as small files in a folder that all tasks reach: made once, and found again by a task that is run again.
 
-    return fs.FileSystem.from_uri(ledger if "://" in ledger or ledger.startswith("file:") else f"file://{ledger}")
+    The folder is a URI that Arrow opens or a local path. A file takes its name
+    when it is whole. Between an effect and its file a task can still be lost:
+    that one effect may happen again, no earlier one.
+    """
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.store, self.path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+    def get(self, key: str, make: Callable[[], Any]) -> Any:
+        """The JSON value of a key, from its file or made now and saved."""
+        folder = f"{self.path}/{key[:2]}"
+        name = f"{folder}/{key}.json"
+        if self.store.get_file_info(name).is_file:
+            return json.loads(self.store.open_input_stream(name).read())
+        value = make()
+        self.store.create_dir(folder, recursive=True)
+        written = f"{name}.{uuid.uuid4().hex}"
+        with self.store.open_output_stream(written) as out:
+            out.write(json.dumps(value).encode())
+        self.store.move(written, name)
+        return value
 
 
 def with_kept_reply(
@@ -82,32 +103,25 @@ def with_kept_reply(
     waiting = f"{ledger.rstrip('/')}/waiting"
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, path = _store(waiting)
-        last = 0.0
+        saved, last = Saved(waiting), 0.0
+
+        def call(prompt: str) -> str:
+            nonlocal last
+            if pause and (early := last + pause - time.monotonic()) > 0:
+                time.sleep(early)
+            last = time.monotonic()
+            return client.chat(prompt, system_prompt=system_prompt, max_tokens=max_tokens)
+
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["_key"], batch["prompt"]):
-                name = f"{path}/{key[:2]}/{key}.json"
-                if store.get_file_info(name).is_file:
-                    rows.append((key, json.loads(store.open_input_stream(name).read())))
-                    continue
-                if pause and (early := last + pause - time.monotonic()) > 0:
-                    time.sleep(early)
-                last = time.monotonic()
                 try:
-                    reply = client.chat(prompt, system_prompt=system_prompt, max_tokens=max_tokens)
+                    rows.append((key, saved.get(key, lambda: call(prompt)), None))
                 except Exception as e:
                     if error_col is None:
                         raise
-                    rows.append((key, [None, str(e)]))
-                    continue
-                store.create_dir(f"{path}/{key[:2]}", recursive=True)
-                made = f"{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(made) as out:
-                    out.write(json.dumps([reply, None]).encode())
-                store.move(made, name)
-                rows.append((key, [reply, None]))
-            yield pd.DataFrame([(k, *said) for k, said in rows], columns=["key", "reply", "error"])
+                    rows.append((key, None, str(e)))
+            yield pd.DataFrame(rows, columns=["key", "reply", "error"])
 
     asked = missing.repartition(at_a_time, "_key").mapInPandas(ask, SCHEMA)
     asked.write.mode("append").parquet(f"{ledger}/replies")

@@ -1,14 +1,18 @@
 """Tool-calling conversations, one per row.
 
 The loop is sequential within a conversation and independent between them, so
-a frame of conversations runs in one mapInPandas, without any state across rows.
+a frame of conversations runs in one mapInPandas, without any state across rows,
+or in rounds of one step each with a journal, where tools have effects that a
+lost task mustn't repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, Protocol
 
 import pandas as pd
@@ -16,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ledger import Saved
+from ..session import kept
 
 #: Replies that a loop gives by itself.
 OUT_OF_STEPS = "Tool execution exceeded max steps."
@@ -193,15 +199,42 @@ def run_agent_loop(
     name the last wins. echo_calls also appends the assistant's turn, which
     strict providers ask for.
     """
-    by_name = {t.name: t for t in tools}
     for _ in range(max_steps):
-        final, calls = adapter.create_response(messages, tools=tools)
+        final = agent_step(adapter, messages, tools, on_tool_result, echo_calls)
         if final is not None:
             return final
-        if echo_calls and calls:
-            told = [{"id": c.id, "type": "function", "function": {"name": c.name, "arguments": json.dumps(c.arguments)}} for c in calls]
-            messages.append({"role": "assistant", "content": "", "tool_calls": told})
-        for call in calls:
+    return OUT_OF_STEPS
+
+
+def agent_step(
+    adapter: ChatAdapter,
+    messages: list[dict],
+    tools: list[Tool],
+    on_tool_result: Callable[[str, Any], None] | None = None,
+    echo_calls: bool = False,
+    once: Callable[[str, Callable[[], Any]], Any] = lambda _, make: make(),
+) -> str | None:
+    """One question to the model: its final answer, or None when its tool calls' results are among messages.
+
+    once(name, make) gives what make gives; it may remember it by name, the
+    model's reply as "reply" and each call's result by its number.
+    """
+
+    def ask() -> list:
+        final, calls = adapter.create_response(messages, tools=tools)
+        return [final, [[c.id, c.name, c.arguments] for c in calls]]
+
+    by_name = {t.name: t for t in tools}
+    final, listed = once("reply", ask)
+    if final is not None:
+        return final
+    calls = [ToolCall(*c) for c in listed]
+    if echo_calls and calls:
+        told = [{"id": c.id, "type": "function", "function": {"name": c.name, "arguments": json.dumps(c.arguments)}} for c in calls]
+        messages.append({"role": "assistant", "content": "", "tool_calls": told})
+    for number, call in enumerate(calls):
+
+        def run(call: ToolCall = call) -> str:
             tool = by_name.get(call.name)
             try:
                 result = tool.function(**call.arguments) if tool else {"error": UNKNOWN_TOOL.format(call.name)}
@@ -212,8 +245,10 @@ def run_agent_loop(
                     on_tool_result(call.name, result)
                 except Exception:
                     pass
-            messages.append({"role": "tool", "name": call.name, "tool_call_id": call.id, "content": as_text(result)})
-    return OUT_OF_STEPS
+            return as_text(result)
+
+        messages.append({"role": "tool", "name": call.name, "tool_call_id": call.id, "content": once(str(number), run)})
+    return None
 
 
 MESSAGES = "array<struct<role:string,content:string,name:string,tool_call_id:string>>"
@@ -242,3 +277,50 @@ def run_agents(
 
     rows = conversations.select(id_col, messages_col)
     return rows.mapInPandas(run, f"{id_col} {kind}, answer string, messages {MESSAGES}")
+
+
+def run_agents_in_rounds(
+    conversations: DataFrame,
+    make_adapter: Callable[[], ChatAdapter],
+    tools: list[Tool],
+    journal: str,
+    max_steps: int = 8,
+    messages_col: str = "messages",
+    id_col: str = "conv_id",
+) -> DataFrame:
+    """As run_agents(), a step of all open conversations at a time, with a journal that lets a broken job go on.
+
+    Each round writes its conversations' state; finished ones leave. Model
+    replies and tool results are saved in the journal folder as they come, so a
+    task that is run again, or a job that is started again with the same
+    journal, repeats neither calls nor a tool's effects (but for one that was
+    lost between its effect and its file). Ids tell conversations apart and
+    aren't null. A journal belongs to one set of conversations, tools and model.
+    """
+    kind = conversations.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, answer string, messages {MESSAGES}"
+    state = kept(conversations.select(id_col, F.lit(None).cast("string").alias("answer"), F.col(messages_col).cast(MESSAGES).alias("messages")))
+    done: list[DataFrame] = []
+
+    def step_of(number: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            adapter, saved = make_adapter(), Saved(journal)
+            for batch in batches:
+                answers, histories = [], []
+                for name, given in zip(batch[id_col], batch["messages"]):
+                    history = [{k: v for k, v in dict(m).items() if v is not None} for m in (given if given is not None else [])]
+                    key = lambda part: hashlib.sha256(f"{number}|{part}|{name}".encode()).hexdigest()
+                    answers.append(agent_step(adapter, history, tools, once=lambda part, make: saved.get(key(part), make)))
+                    histories.append([{k: m.get(k) for k in ("role", "content", "name", "tool_call_id")} for m in history])
+                yield pd.DataFrame({id_col: batch[id_col], "answer": answers, "messages": histories})
+
+        return step
+
+    for number in range(max_steps):
+        stepped = kept(state.mapInPandas(step_of(number), schema))
+        done.append(stepped.where(F.col("answer").isNotNull()))
+        state = stepped.where(F.col("answer").isNull())
+        if not state.take(1):
+            break
+    left = state.withColumn("answer", F.lit(OUT_OF_STEPS))
+    return reduce(DataFrame.unionByName, done, left)

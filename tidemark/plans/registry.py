@@ -249,12 +249,10 @@ def tool_plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, each ending in one tool call whose result is the answer."""
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.struct("turn", "role", "text")
     talks = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    messages = talks.select(
+    return talks.select(
         "conv_id",
         F.transform(
             "turns",
@@ -262,14 +260,30 @@ def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("messages"),
     )
 
+
+def _counter() -> tuple:
+    """An adapter maker whose model asks for one tool call and answers with its result, and that tool."""
+
     def send(history: list[dict]) -> str:
         told = [m["content"] for m in history if m["role"] == "tool"]
         if told:
             return json.dumps({"final_answer": told[-1]})
         return json.dumps({"tool_calls": [{"name": "count_words", "arguments": {"text": history[0]["content"]}}]})
 
-    tools = [agents.Tool("count_words", "Counts words.", {"type": "object"}, lambda text: len(text.split()))]
-    answers = agents.run_agents(messages, lambda: agents.JsonFunctionAdapter(send), tools)
+    return lambda: agents.JsonFunctionAdapter(send), [agents.Tool("count_words", "Counts words.", {"type": "object"}, lambda text: len(text.split()))]
+
+
+@query
+def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, each ending in one tool call whose result is the answer."""
+    answers = agents.run_agents(_talks(spark, sf_dir), *_counter())
+    return answers.select("conv_id", "answer", F.size("messages").cast("long").alias("n_messages"))
+
+
+@query
+def agent_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As agent_loop, a step at a time with a journal."""
+    answers = agents.run_agents_in_rounds(_talks(spark, sf_dir), *_counter(), _folder(spark))
     return answers.select("conv_id", "answer", F.size("messages").cast("long").alias("n_messages"))
 
 

@@ -404,3 +404,5 @@ WITH {_CHUNKS_NEAR}
 SELECT item_id, benchmark.text AS question, substr({_CONTEXT}, 1, 256) AS answer
 FROM benchmark LEFT JOIN found ON query_id = item_id AND ord <= 3 GROUP BY item_id, benchmark.text
 """
+
+AGENT_ROUNDS = AGENT_LOOP
