@@ -14,7 +14,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
-from ..sources import keywords, loaders, managed, pdf
+from ..sources import keywords, loaders, managed, pdf, rings
 from ..sources.index import VectorEmbedding, upsert_batches, upserted
 from .. import prompts
 from ..ledger import with_kept_reply
@@ -57,6 +57,16 @@ def knn_l2_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("ord").cast("long").alias("ord"))
 
 
+@query
+def knn_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn_l2_batch, from a stored index of rings around pivots."""
+    path, vectors = _folder(spark), _t(spark, sf_dir, "embeddings")
+    rings.build(vectors, path, "vec_id")
+    asked = vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near, _ = rings.search(spark, path, asked, 5, id_col="vec_id")
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("ord").cast("long").alias("ord"))
+
+
 @query
 def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")

@@ -406,3 +406,5 @@ FROM benchmark LEFT JOIN found ON query_id = item_id AND ord <= 3 GROUP BY item_
 """
 
 AGENT_ROUNDS = AGENT_LOOP
+
+KNN_RINGS = KNN_L2_BATCH
