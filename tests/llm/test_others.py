@@ -114,7 +114,7 @@ def test_queries_and_pipeline(spark):
     from tidemark.llm import queries
 
     sf = "/root/testdata/sf0.001"
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"rule"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"rule"}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     for name, text in queries.ORACLE_SQL.items():
