@@ -14,7 +14,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import agents, batching, chunking, evaluation, ordering, qa, rag, search
 from ..providers import GenAIChatClient, GenAIEmbeddingClient
 from ..session import shared_dir
-from ..sources import keywords, loaders, managed, pdf, rings
+from ..sources import keywords, loaders, managed, pdf, ranges, rings
 from ..sources.index import VectorEmbedding, upsert_batches, upserted
 from .. import prompts
 from ..ledger import with_kept_reply
@@ -380,6 +380,16 @@ def load_folder_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.load_documents_to_dataframe(spark, path).select("content")
 
 
+@query
+def load_ranged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, line ends and quotes included, written as CSV files and loaded in ranges of 256 kB."""
+    path = _folder(spark)
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
+    docs.write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True, escape='"', quoteAll=True)
+    files = ranges.file_ranges(spark, path, 1 << 18).where(F.col("filename").endswith(".csv"))
+    return ranges.csv_rows(spark, files).select(F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n"), "error")
+
+
 @query
 def load_single_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions written as one CSV file and loaded as one document in chunks."""

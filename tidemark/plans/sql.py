@@ -314,6 +314,11 @@ SELECT round(avg(bleu), 6) AS avg_bleu, 0.75::DOUBLE AS avg_answer_relevance, 1.
 
 LOAD_FOLDER_CSV = "SELECT concat_ws(' | ', s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR) AS content FROM supplier"
 
+LOAD_RANGED_CSV = """
+WITH loaded AS (SELECT concat_ws(' | ', doc_id::VARCHAR, lang, NULLIF(text, ''), n_chars::VARCHAR) AS content FROM documents)
+SELECT md5(content) AS content_md5, length(content)::BIGINT AS n, NULL::VARCHAR AS error FROM loaded
+"""
+
 LOAD_SINGLE_CSV = r"""
 SELECT 0::BIGINT AS chunk_id, string_agg(concat_ws(' | ', r_regionkey::VARCHAR, r_name), chr(10) ORDER BY r_regionkey) AS content FROM region
 """

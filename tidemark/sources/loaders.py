@@ -1,7 +1,8 @@
 """Folders of documents as frames.
 
 Files are listed and read by Spark's binaryFile source, so any store Spark
-reads will do, and parsed a file at a time on the executors. What can't be
+reads will do, and parsed a file at a time on the executors, but for large CSV
+files, which ranges.py reads in parts. What can't be
 parsed goes to an error column instead of ending the load. Word, PowerPoint and
 xlsx files are read from their XML with the standard library, old xls files by
 xls.py, PDF files by pdf.py, a page at a time.
@@ -23,15 +24,15 @@ from pyspark.sql import functions as F
 from ..functions.text import linearize
 from ..operators.chunking import explode_chunks, split_text
 from .pdf import pdf_texts
+from .ranges import RANGE_BYTES, SCHEMA, csv_rows, file_ranges
 from .xls import DATE_FORMATS, as_date, shows_date, xls_sheets
 
-SCHEMA = "filename string, part int, content string, error string"
 SUPPORTED = ("pdf", "txt", "csv", "xls", "xlsx", "docx", "pptx")
 
 
 def _csv_rows(raw: bytes) -> list[str]:
     """Values as pandas types them, joined; nulls are left out."""
-    frame = pd.read_csv(io.BytesIO(raw))
+    frame = pd.read_csv(io.BytesIO(raw), low_memory=False)  # types are those of whole columns
     return [" | ".join(str(v) for v in row if pd.notna(v)) for row in frame.itertuples(index=False, name=None)]
 
 
@@ -137,8 +138,8 @@ def parse_file(name: str, raw: bytes) -> list[tuple[str, str]]:
     raise ValueError(f"unsupported file type: {name}")
 
 
-def parsed_files(spark: SparkSession, folder_path: str) -> DataFrame:
-    """(filename, part, content, error) of all supported files right in the folder."""
+def parsed_files(spark: SparkSession, folder_path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(filename, part, content, error) of all supported files right in the folder. CSV files of more than range_bytes are read by ranges."""
     pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in SUPPORTED) + "}"  # in any case
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder_path)
 
@@ -152,18 +153,23 @@ def parsed_files(spark: SparkSession, folder_path: str) -> DataFrame:
                     rows.append((name, 0, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["filename", "part", "content", "error"])
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    by_ranges = F.lower("path").endswith(".csv") & (F.col("length") > range_bytes)
+    named = files.where(~by_ranges).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
     is_pdf = F.lower("filename").endswith(".pdf")
-    return named.where(~is_pdf).mapInPandas(parse, SCHEMA).unionByName(pdf_texts(named.where(is_pdf)))
+    parsed = named.where(~is_pdf).mapInPandas(parse, SCHEMA).unionByName(pdf_texts(named.where(is_pdf)).withColumn("part", F.col("part").cast("long")))
+    if files.where(by_ranges).select("length").isEmpty():
+        return parsed
+    large = file_ranges(spark, folder_path, range_bytes, larger_than=range_bytes).where(F.lower("filename").endswith(".csv"))
+    return parsed.unionByName(csv_rows(spark, large))
 
 
-def load_documents_to_dataframe(spark: SparkSession, folder_path: str) -> DataFrame:
+def load_documents_to_dataframe(spark: SparkSession, folder_path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_seq, filename, content): every record of a folder's files; a file's records stay in order and together.
 
     A folder without such files gives no rows; one that isn't there fails and
     isn't made. Files that can't be read are left out: parsed_files() tells why.
     """
-    good = parsed_files(spark, folder_path).where(F.col("error").isNull())
+    good = parsed_files(spark, folder_path, range_bytes).where(F.col("error").isNull())
     from ..operators.ordering import with_running_sum
 
     per_file = good.groupBy("filename").agg(F.count("*").alias("n")).withColumn("_h", F.xxhash64("filename"))
