@@ -48,6 +48,21 @@ def test_results_do_not_depend_on_partitions_folds_or_the_way_wrappers_travel(sp
     assert set(once) == {r.page_id for r in wrappers.extract(again, fan_in=2).collect()}
 
 
+def test_a_notice_inside_the_article_goes_and_repeated_stories_stay(spark, prose_of):
+    rng = random.Random(5)
+    copied = [prose_of(rng, 30) for _ in range(3)]
+    rows, want = [], {}
+    for i in range(90):
+        story = copied if i % 3 == 0 else [prose_of(rng, 20) for _ in range(3)]
+        inside = "".join(f"<p>{p}</p>" for p in story)
+        rows.append((i, f"https://b.example/{i}", f"<main><article><h1>Title {i}</h1>{inside}<p>Subscribe to our letter today.</p></article></main>"))
+        want[i] = "\n".join([f"Title {i}", *story])
+    few = [(200 + i, f"https://c.example/{i}", f"<article><p>{prose_of(rng, 20)}</p><p>As ever.</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows + few, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i].endswith("\nAs ever.") for i, _, _ in few)  # too few pages to overrule their marks
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

@@ -79,6 +79,8 @@ MOST_LEVELS, MOST_KINDS = 40, 48
 SAID, NAMED, FLOW = 6.0, 4.0, 0.5
 #: A text returns in a slot if so many pages have it there, and one in so many.
 LEAST_PAGES, ONE_IN = 3, 128
+#: Distinct pages from which on a constant text outweighs any mark.
+CONSTANT_PAGES = 24
 #: Skeletons that one task folds, and bytes of wrappers that are broadcast; beyond, pages are joined with them.
 FAN_IN, BROADCAST_BYTES = 256, 16 << 20
 
@@ -521,12 +523,18 @@ class Wrapper:
         return self.known[skeleton]
 
     def evidence(self, slot: int, text: str) -> float:
-        """Log odds of template that the host's pages give: more of them weigh more. A text on half of them is as good as constant."""
+        """Log odds of template that the host's pages give: more of them weigh more. A text on half of them is as good as constant.
+
+        A constant text of CONSTANT_PAGES distinct pages or more weighs twice, so
+        that a notice goes even where the page marks all about it as its article.
+        """
         weight = min(5.0, log2(self.pages.get(slot, 1)) - 1) if self.pages.get(slot, 0) > 2 else 0.0
         if not weight:
             return 0.0
         returning, texts = self.often.get(slot, (0.0, {}))
         share = texts.get(_hash(text))
+        if share is not None and share >= 0.5 and self.pages[slot] >= CONSTANT_PAGES:
+            return 2 * weight
         return -weight if share is None else weight * (2 * max(min(1.0, 2 * share), returning) - 1)
 
 
