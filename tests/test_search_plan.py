@@ -44,3 +44,30 @@ def test_blocks_of_all_dimensions_spread_over_tasks(spark, no_broadcast, monkeyp
     other = met.select([F.col(c).alias(f"q_{c}") for c in met.columns])
     tasks = met.crossJoin(other).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) >= 12 and max(r["count"] for r in tasks) < 0.2 * sum(r["count"] for r in tasks)
+
+
+def test_ties_are_ties_to_the_last_bit(spark):
+    """Distances add up as SQL adds; equal words in another order score the same, wherever they lie and however questions come."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
+    asked = vectors.limit(5).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    for r in search.knn_l2_batch(vectors, asked, 10).collect():
+        total = 0.0
+        for a, b in zip(x[r.chunk_id], x[r.query_id]):
+            total += (a - b) * (a - b)
+        assert r.distance == total
+
+    rows = []
+    for i in range(30):
+        words = [f"w{k}" for k in rng.integers(0, 40, 30)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[::-1]))]
+    questions = [(i, " ".join(f"w{k}" for k in rng.permutation(40)[:25])) for i in range(20)]
+    seen = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "chunk_id long, content string").repartition(parts)
+        some = spark.createDataFrame(questions, "query_id long, question string").repartition(parts)
+        score = {(r.query_id, r.chunk_id): r.score for r in search.bm25(docs, some, 60).collect()}
+        assert len(score) == 1200 and all(score[q, d] == score[q, d ^ 1] for q, d in score)
+        seen.append(score)
+    assert seen[0] == seen[1]

@@ -99,7 +99,7 @@ def knn_l2_batch(
                         if len(given) > k:
                             limit = np.partition(given, k - 1)[k - 1]
                             near = np.flatnonzero(given <= limit + 1e-9 * max(1.0, abs(limit), float(squares.max())))
-                        exact = ((x[near] - q[j]) ** 2).sum(1)
+                        exact = np.add.accumulate((x[near] - q[j]) ** 2, axis=1)[:, -1]  # one by one, as SQL adds, so that the last bit agrees
                         order = np.lexsort((own[near], exact))[:k]
                         out.append((np.full(len(order), ids[j]), own[near][order], exact[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "id", "distance"])
@@ -152,7 +152,8 @@ def bm25(
     weights = held.join(df, "term").crossJoin(F.broadcast(size)).select("id", F.xxhash64("term").alias("t"), part.alias("w"))
     of_text = weights.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("x"))
     text_blocks = _packed(of_text.select("id", F.col("x.t").alias("t"), F.col("x.w").alias("w")))
-    of_query = asked.groupBy("q").agg(F.collect_list(F.xxhash64("term")).alias("t"))
+    # sorted: the same sum, to the last bit, for texts of the same weights, whichever blocks they are in
+    of_query = asked.groupBy("q").agg(F.sort_array(F.collect_list(F.xxhash64("term"))).alias("t"))
     query_blocks = _packed(of_query.select(F.col("q").alias("id"), "t", F.transform("t", lambda _: F.lit(1.0)).alias("w")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
