@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import quality
 
 
@@ -85,3 +87,33 @@ def test_held_out_documents(spark):
     judged = quality.isolate(docs, labels.where("doc_id % 2 = 1")).join(labels.where("doc_id % 2 = 0"), "doc_id").where("not base_failed").toPandas()
     good = judged.quality.to_numpy() == 1
     assert judged.kept[good].mean() >= 0.98 and judged.kept[~good].mean() <= 0.05
+
+
+def test_limit_counts_all_rows(spark):
+    """The distributed limit is calibrate()'s, and one label in many, which a bound on rows would pass over, moves it."""
+    rng = np.random.default_rng(6)
+    for n in (5, 400):
+        scores, good = rng.normal(size=n).round(2), rng.random(n) < 0.7
+        good[0], good[1] = True, False
+        rows = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "score double, good boolean").repartition(3)
+        for lost in (0.0, 0.05, 0.2):
+            assert quality.calibrated(rows, lost) == quality.calibrate(scores, good, lost)
+    assert quality.calibrated(rows.where("good"), 0.1) == quality.calibrated(rows.limit(0), 0.1) == np.inf
+
+
+def test_no_document_is_outside_the_range(spark, monkeypatch):
+    """Of 30,000 documents one has symbols: the root cell holds it, as it comes from all rows."""
+    cells: list[tuple] = []
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 52), k -> concat('w', k + id % 7)), ' ')").alias("text"))
+    odd = spark.createDataFrame([(30_000 + i, "% " * (i == 0) + " ".join(f"v{k}" for k in range(60))) for i in range(2)], "doc_id long, text string")
+    real = quality.IsolationForest.fit
+
+    def fit(self, x, low, high, *more):
+        cells.append((low, high))
+        return real(self, x, low, high, *more)
+
+    monkeypatch.setattr(quality.IsolationForest, "fit", fit)
+    for seed in (1, 2, 3):
+        judged = quality.isolate(docs.unionByName(odd), spark.createDataFrame([(0, 1)], "doc_id long, quality int"), seed=seed)
+        assert judged.columns[-1] == "kept"
+    assert all(high[1] > np.log1p(100 / 61) > low[1] for low, high in cells)

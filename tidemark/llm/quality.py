@@ -6,9 +6,9 @@ forest grown from good rows: documents whose statistics random splits isolate
 from them after few steps are anomalous, and the limit on the anomaly score is
 set from labelled rows that grew no tree.
 
-The range of splits comes from at most `fit_rows` documents, trees and limit
-from at most `label_rows` labelled ones, all picked by hash of the id; each
-bound is a parameter and everything else covers all documents.
+The range of splits comes from all documents and the limit from all labelled
+ones, as totals that Spark adds up. An isolation tree grows from few rows by its
+definition; each has its own, drawn by hash from all good labelled ones.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import bucketed
 from .common import col, cut, over_texts
 
 #: White space between words, and the characters that count as symbols.
@@ -100,15 +101,17 @@ class IsolationForest:
     def __init__(self, trees: int = 100, sample: int = 256, seed: int = 42):
         self.n_trees, self.sample, self.seed = trees, sample, seed
 
-    def fit(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> IsolationForest:
+    def fit(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, own: list[np.ndarray] | None = None) -> IsolationForest:
+        """Trees from samples of x, or tree t from the rows own[t] of x."""
         rng = np.random.default_rng(self.seed)
-        size = min(self.sample, len(x))
+        size = min(self.sample, len(x)) if own is None else max(map(len, own))
         depth = max(1, int(np.ceil(np.log2(max(size, 2))))) + 2
         shape = (self.n_trees, (2 << depth) - 1)
         self.feature, self.split = np.full(shape, -1, np.int32), np.zeros(shape)
         self.length, self.depth, self.unit = np.zeros(shape), depth, float(mean_depth(size)) or 1.0
         for t in range(self.n_trees):
-            todo = [(0, rng.choice(len(x), size, replace=False) if len(x) else np.zeros(0, int), 0, low, high)]
+            drawn = own[t] if own is not None else rng.choice(len(x), size, replace=False) if len(x) else np.zeros(0, int)
+            todo = [(0, drawn, 0, low, high)]
             while todo:
                 node, rows, level, a, b = todo.pop()
                 self.length[t, node] = level + mean_depth(len(rows))
@@ -154,14 +157,41 @@ def calibrate(scores: np.ndarray, good: np.ndarray, most_good_lost: float) -> fl
     return float(limits[np.argmax(np.where(allowed, caught - lost, -1))])
 
 
+def calibrated(scored: DataFrame, most_good_lost: float) -> float:
+    """calibrate() for rows (score double, good boolean) of any number: equal scores are counted and the counts added up in order.
+
+    Ranges of scores have windows of their own; only their totals and each one's
+    best limit are brought together.
+    """
+    counts = cut(scored.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")))
+    placed = cut(bucketed(counts, "score"))
+    totals = placed.groupBy("_bucket").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("score").alias("first")).orderBy("_bucket").collect()
+    goods, bads = sum(r["g"] for r in totals), sum(r["b"] for r in totals)
+    if not goods or not bads:
+        return np.inf
+    base, g, b = [], 0, 0
+    for i, r in enumerate(totals):
+        base.append((r["_bucket"], g, b, totals[i + 1]["first"] if i + 1 < len(totals) else None))
+        g, b = g + r["g"], b + r["b"]
+    known = scored.sparkSession.createDataFrame(base, "_bucket int, g0 long, b0 long, beyond double")
+    within = Window.partitionBy("_bucket").orderBy("score")
+    passed = lambda c: F.col(f"{c}0") + F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    lost, caught = 1 - passed("g") / goods, 1 - passed("b") / bads
+    above = F.coalesce(F.lead("score").over(within), F.col("beyond"))
+    limits = placed.join(F.broadcast(known), "_bucket").select(
+        F.coalesce((F.col("score") + above) / 2, F.col("score")).alias("limit"),
+        F.when(lost <= most_good_lost, caught - lost).otherwise(-1.0).alias("gain"),
+    )
+    best = limits.agg(F.max(F.struct("gain", (-F.col("limit")).alias("least"))).alias("best")).first()["best"]
+    return -float(best["least"])
+
+
 def isolate(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    fit_rows: int = 20_000,
-    label_rows: int = 20_000,
     most_good_lost: float = 0.005,
     trees: int = 100,
     seed: int = 42,
@@ -175,33 +205,66 @@ def isolate(
     kinds the forest rejects nothing. No rows in: no rows out. Other columns
     never matter.
 
-    The root cell is the range of a sample of all documents that pass the base
-    rules. Half of the good labelled rows (of all sampled documents, where there
-    are none) grow the trees; the limit is set on the other half and the bad.
+    The root cell is the range of all documents that pass the base rules. Half
+    of the good labelled rows (all documents, where there are none) may grow
+    trees, each from rows that a hash draws among all of them; the limit is set
+    on all others, good and bad.
     """
     stats = cut(rule_statistics(docs, id_col, text_col)).withColumn("base_failed", base_failed())
     passed = stats.where(~F.col("base_failed"))
-    by_hash = [F.xxhash64(F.lit(seed), F.col("doc_id")), *STATS]
-    seen = features(passed.orderBy(*by_hash).limit(fit_rows).toPandas())
+    per = ["n_words", "n_words", "n_lines", "n_words"]
+    rates = [F.col(c) / F.greatest(F.col(d), F.lit(1)) for c, d in zip(STATS[1:5], per)]
+    ends = passed.agg(*[F.min(r) for r in rates], *[F.max(r) for r in rates]).first()
+    low, high = np.log1p(100 * np.array([e or 0.0 for e in ends], float)).reshape(2, 4)
     marked = labels.select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("label"))
-    known = (
+    by_hash = F.xxhash64(F.lit(seed), "doc_id", *STATS)
+    known = cut(
         passed.join(marked.where(F.col("label").isin(0, 1)), "doc_id")
-        .orderBy(*by_hash, "label")
-        .limit(label_rows)
-        .toPandas()
+        .withColumn("good", F.col("label") == 1)
+        .withColumn("grows", F.col("good") & (F.pmod(by_hash, F.lit(2)) == 0))
     )
-    x, good = features(known), known["label"].to_numpy() == 1
-    grows = good & (np.cumsum(good) % 2 == 1)
-    low, high = (f(axis=0) if len(seen) else np.zeros(4) for f in (seen.min, seen.max))
+    growing = known.where("grows")
+    if not growing.limit(1).count():
+        growing = passed
+    x, own = _drawn(growing, trees, seed)
     margin = 0.05 * (high - low)
-    forest = IsolationForest(trees, seed=seed).fit(x[grows] if grows.any() else seen, low - margin, high + margin)
-    limit = calibrate(forest.score(x[~grows]), good[~grows], most_good_lost)
+    forest = IsolationForest(trees, seed=seed).fit(x, low - margin, high + margin, own)
 
     @F.pandas_udf("double")
     def anomaly(frame: pd.DataFrame) -> pd.Series:
         distinct, back = np.unique(features(frame), axis=0, return_inverse=True)
         return pd.Series(forest.score(distinct)[back.reshape(-1)])
 
+    judged = known.where("not grows").select(anomaly(F.struct(*STATS)).alias("score"), "good")
+    limit = calibrated(judged, most_good_lost)
     return stats.withColumn("anomaly", anomaly(F.struct(*STATS))).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(float(limit)))
     )
+
+
+def _drawn(rows: DataFrame, trees: int, seed: int, sample: int = 256) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Features of the rows drawn, and which of them each tree has: those of the least hashes of row and tree, among all rows."""
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            own = batch["h"].to_numpy().view(np.uint64)
+            for t in range(trees):
+                mixed = (own ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                rank = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+                few = np.argsort(rank, kind="stable")[:sample]
+                some = batch.iloc[few][list(STATS)].assign(tree=t, rank=rank[few])
+                if t < len(held):
+                    held[t] = pd.concat([held[t], some]).nsmallest(sample, "rank", keep="first")
+                else:
+                    held.append(some)
+        if held:
+            yield pd.concat(held)
+
+    hashed = rows.select(*STATS, F.xxhash64(F.lit(seed), F.lit(1), "doc_id", *STATS).alias("h"))
+    kind = ", ".join(f"{c} long" for c in (*STATS, "tree", "rank"))
+    nth = F.row_number().over(Window.partitionBy("tree").orderBy("rank", *STATS))
+    drawn = hashed.mapInPandas(least, kind).withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("tree", "nth").toPandas()
+    tree = drawn["tree"].to_numpy()
+    return features(drawn), [np.flatnonzero(tree == t) for t in range(trees)]
