@@ -1,4 +1,4 @@
-"""Text expressions: all native but shorten(), which wraps the standard library."""
+"""Text expressions: all native but shorten(), which, unless plain, wraps the standard library."""
 
 from __future__ import annotations
 
@@ -61,12 +61,17 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in [*parts, F.lit(literal)]])
 
 
-def shorten(text: Column, width: int = 800) -> Column:
+def shorten(text: Column, width: int = 800, plain: bool = False) -> Column:
     """White space collapsed; cut at a word or hyphen so that it fits with ' [...]'.
 
     Texts that fit stay in the JVM; of longer ones only what may show goes to
-    Python, whose textwrap says where words and hyphens part.
+    Python, whose textwrap says where words and hyphens part. plain: ASCII white
+    space alone parts words, as SQL has it, and all stays in the JVM.
     """
+    if plain:
+        joined = F.trim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "))
+        shown = F.regexp_extract(F.substring(joined, 1, width - 5), "(?s)^(.*) ", 1)
+        return F.when(F.length(joined) <= width, joined).when(shown == "", "[...]").otherwise(F.concat(shown, F.lit(" [...]")))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
