@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
-#: Characters of the pieces kept per Python worker, beyond which the cache starts afresh, and of the longest of them.
-CACHE_CHARS, CACHED_PIECE = 2_000_000, 64
+#: Characters of the pieces kept per Python worker, beyond which the cache starts afresh (some 20 bytes each), and of the longest of them.
+CACHE_CHARS, CACHED_PIECE = 1_000_000, 64
 
 #: A run of white space from which on a text goes to tokenizers whole; tiktoken panics somewhere beyond 300,000.
 LONG_SPACE = re.compile(r"\s{50000}")
@@ -44,16 +45,16 @@ class PieceCachedBpe:
     Pieces are encoded by tiktoken from the JSON file's own vocabulary, several
     times as fast as by tokenizers; both give the same ids, which loading checks
     on a few strings and the tests on many. Texts that contain the string of a
-    special token, or a very long run of white space, go to tokenizers whole.
+    special token, or a very long run of white space, go to tokenizers whole,
+    which is loaded again for them: few workers need it in memory.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, whole = path, self._tokenizer(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = _byte_letters()
@@ -67,7 +68,7 @@ class PieceCachedBpe:
             "from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         for s in ("a", " the end.", "Ünï 漢字 \t\n 12ab's"):
-            if self.fast.encode_ordinary(s) != self.whole.encode(s, add_special_tokens=False).ids:
+            if self.fast.encode_ordinary(s) != whole.encode(s, add_special_tokens=False).ids:
                 raise ValueError(f"{path} isn't byte-level BPE of the public pattern")
         #: Bytes of each id.
         self.widths = np.zeros(max(max(ranks.values()), *(t["id"] for t in spec["added_tokens"])) + 1, np.int64)
@@ -77,6 +78,21 @@ class PieceCachedBpe:
             self.widths[t["id"]] = len(t["content"].encode())
         self._new_cache()
 
+    @staticmethod
+    def _tokenizer(path: str):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    @cached_property
+    def whole(self):
+        return self._tokenizer(self.path)
+
+    def rest(self) -> None:
+        """Forget what another task can do without."""
+        self.__dict__.pop("whole", None)
+        self._new_cache()
+
     def _new_cache(self) -> None:
         fast, pack = self.fast, self._pack
 

@@ -58,6 +58,12 @@ def pack_powers(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base, made = bpe.load(path), TaskContext.get().partitionId() << 40, 0
+        try:
+            yield from pieces(encoder, batches, base, made)
+        finally:
+            encoder.rest()
+
+    def pieces(encoder, batches: Iterator[pa.RecordBatch], base: int, made: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             held = 0
